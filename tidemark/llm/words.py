@@ -46,8 +46,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _hash_block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of one block, and where each word starts in it."""
+def _hash_block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray, heads: tuple[int, ...] = (), tails: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of one block (a row per head and tail length follows the words'), and where each word starts in it."""
     n = len(data)
     word = ~_SEPARATOR[data]
     first = np.empty(n, bool)
@@ -56,7 +56,7 @@ def _hash_block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tupl
     first[breaks] = True
     starts = np.flatnonzero(word & first)
     if not len(starts):
-        return np.zeros(0, np.uint64), starts
+        return np.zeros((1 + len(heads) + len(tails), 0), np.uint64), starts
     last = np.empty(n, bool)
     last[-1] = True
     last[:-1] = first[1:] | ~word[1:]
@@ -64,8 +64,14 @@ def _hash_block(data: np.ndarray, breaks: np.ndarray, table: np.ndarray) -> tupl
     up, down = _powers(n)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * up[:n], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * down[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), starts
+    def part(lo: np.ndarray, hi: np.ndarray, kind: int) -> np.ndarray:
+        h = (sums[hi] - sums[lo]) * down[lo]
+        return mix(h + (hi - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(kind))
+
+    rows = [part(starts, ends, 0)]
+    rows += [part(starts, np.minimum(ends, starts + k), 1) for k in heads]
+    rows += [part(np.maximum(starts, ends - k), ends, 2) for k in tails]
+    return np.stack(rows), starts
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -93,6 +99,12 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words in order, offsets of each row's words in them)."""
+    h, at = word_parts(column, lower)
+    return h[0], at
+
+
+def word_parts(column: pa.Array, lower: bool = True, heads: tuple[int, ...] = (), tails: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Like word_hashes with more rows: hashes of the words' first and last so many bytes."""
     offsets, data = text_buffers(column)
     table = _LOWER if lower else _TABLE
     found, places = [], []
@@ -110,14 +122,14 @@ def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nd
                 to = to + int(rest[0]) + 1 if len(rest) else row_end
         lo, hi = np.searchsorted(offsets, at, "left"), np.searchsorted(offsets, to, "left")
         breaks = offsets[lo:hi] - at
-        h, starts = _hash_block(data[at:to], breaks, table)
+        h, starts = _hash_block(data[at:to], breaks, table, heads, tails)
         found.append(h)
         places.append(starts + at)
         at = to
     if not found:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros((1 + len(heads) + len(tails), 0), np.uint64), np.zeros(len(offsets), np.int64)
     place = np.concatenate(places)
-    return np.concatenate(found), np.searchsorted(place, offsets, "left")
+    return np.concatenate(found, axis=1), np.searchsorted(place, offsets, "left")
 
 
 _STEPS = _RNG.integers(1, 2**63, 16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
