@@ -12,10 +12,14 @@ its empty parts, which keeps the guarantee.
 Equal sets are one node from the start.  Candidates are verified exactly on
 whole texts.  A first round verifies each set against one leader of its buckets
 and joins what links into components; the second takes every pair of a bucket
-that still lies in different components, drops those that exact lower bounds on
-the symmetric difference rule out (sizes and a histogram of the features), and
-verifies the rest.  Buckets are split into blocks of bounded size, so no task
-gathers an unbounded group, and no link between different texts is lost.
+that still lies in different components and drops those that exact lower bounds
+on the symmetric difference rule out: the sizes, and the distance of parity
+sketches, in which every differing feature flips one bit.  Buckets where pairs
+are left are worked off in three waves: the nearest pair of each set, the nearest
+pairs of each set in each bucket, and with a wider sketch all that still lie in
+different components; pairs that a wave has joined need no check.  Buckets are
+split into blocks of bounded size, so no task gathers an unbounded group, and no
+link between different texts is lost.
 """
 
 from __future__ import annotations
@@ -35,7 +39,9 @@ from .words import mix, shingle_set, word_hashes
 from .workspace import Workspace, join_ids
 
 GROWTH = 1.5
-BINS = 64
+#: Bits of the parity sketch and of the wider one.
+SKETCH = 1024
+WIDE = 4096
 #: Members of a bucket that are compared with each other in one group.
 BLOCK = 1024
 #: Texts of one Arrow batch.
@@ -97,19 +103,21 @@ def _described(width: int, num: int, den: int, seed: int):
     def run(batches):
         for batch in _slices(batches):
             h, at = word_hashes(batch.column(1))
-            size, key, check, bins, sigs = [], [], [], [], []
+            size, key, check, sketch, wide, sigs = [], [], [], [], [], []
             for i in range(batch.num_rows):
                 s = shingle_set(h[at[i] : at[i + 1]], width)
                 size.append(len(s))
                 code = mix(s ^ salt)
                 key.append(int((mix(code.sum(dtype=np.uint64) + salt * np.uint64(len(s)))).view(np.int64)[0]))
                 check.append(int(np.bitwise_xor.reduce(mix(code + _B)).view(np.int64)) if len(s) else 0)
-                bins.append(np.minimum(np.bincount((s >> np.uint64(20)).astype(np.int64) % BINS, minlength=BINS), 255).astype(np.uint8).tobytes())
+                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % WIDE, minlength=WIDE) & 1
+                wide.append(np.packbits(odd).tobytes())
+                sketch.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, SKETCH))).tobytes())
                 sigs.append(signatures(s, num, den).view(np.int64))
             ends = np.cumsum([0] + [len(x) for x in sigs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(bins, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "check", "bins", "sigs"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))],
+                names=["doc_id", "n_shingles", "key", "check", "sketch", "wide", "sigs"],
             )
 
     return run
@@ -130,28 +138,60 @@ def _verified(width: int, num: int, den: int):
     return run
 
 
-def _compared(num: int, den: int):
-    """Pairs of one block (or two) of a bucket in different components that no exact bound rules out."""
-
-    def run(group: pa.Table) -> pa.Table:
-        key, root, size = (group[c].to_numpy() for c in ("key", "root", "n_shingles"))
-        left = group["part"].to_numpy() == group["first"].to_numpy()
-        within = bool((group["first"].to_numpy() == group["second"].to_numpy()).all())
-        bins = np.frombuffer(b"".join(group["bins"].to_pylist()), np.uint8).reshape(len(key), BINS).astype(np.int16)
-        rows, others = np.flatnonzero(left), np.flatnonzero(~left) if not within else None
-        a, b = [], []
-        for n, i in enumerate(rows):
-            rest = rows[n + 1 :] if within else others
-            rest = rest[root[rest] != root[i]]
-            total = size[rest] + size[i]
-            limit = total * (den - num) // (den + num)
-            rest, limit = rest[np.abs(size[rest] - size[i]) <= limit], limit[np.abs(size[rest] - size[i]) <= limit]
-            if len(rest):
-                rest = rest[np.abs(bins[rest] - bins[i]).sum(1) <= limit]
-                a.append(np.minimum(key[rest], key[i]))
-                b.append(np.maximum(key[rest], key[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+def _compared(num: int, den: int, nearest: bool):
+    """Pairs of one group (sig, first, second) in different components that no exact bound rules out, and the bound.
+
+    With `nearest` each row gives its nearest partner alone.  Rows come sorted by group; a group holds at most about two blocks.  All groups
+    of a batch are compared together: each row with the one `step` places on.
+    """
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        sig, first, second, part, key, root, size = (t[c].to_numpy() for c in ("sig", "first", "second", "part", "key", "root", "n_shingles"))
+        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint64).reshape(len(key), -1)
+        new = np.append(True, (sig[1:] != sig[:-1]) | (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+        group = np.cumsum(new)
+        left, right, far = [], [], []
+        rows, step = np.arange(len(key)), 0
+        while True:
+            step += 1
+            rows = rows[rows + step < len(key)]
+            rows = rows[group[rows + step] == group[rows]]
+            if not len(rows):
+                break
+            i, j = rows, rows + step
+            limit = (size[i] + size[j]) * (den - num) // (den + num)
+            ok = (root[i] != root[j]) & (np.abs(size[i] - size[j]) <= limit) & ((first[i] == second[i]) | (part[i] != part[j]))
+            i, j, limit = i[ok], j[ok], limit[ok]
+            least = np.bitwise_count(sketch[i] ^ sketch[j]).sum(1, dtype=np.int64)
+            ok = least <= limit
+            left.append(i[ok])
+            right.append(j[ok])
+            far.append(least[ok] / np.maximum(limit[ok], 1))
+        none = np.zeros(0, np.int64)
+        i, j, far = np.concatenate([none, *left]), np.concatenate([none, *right]), np.concatenate([np.zeros(0), *far])
+        if nearest and len(i):
+            node, order = np.concatenate((i, j)), np.concatenate((far, far))
+            by = np.lexsort((order, node))
+            head = by[np.append(True, node[by][1:] != node[by][:-1])]
+            pick = np.unique(head % len(i))
+            i, j, far = i[pick], j[pick], far[pick]
+        return pa.RecordBatch.from_arrays([pa.array(sig[i]), pa.array(np.minimum(key[i], key[j])), pa.array(np.maximum(key[i], key[j])), pa.array(far)], names=["sig", "a", "b", "far"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows < 20_000:
+                continue
+            tail = [held[c].combine_chunks() for c in ("sig", "first", "second")]
+            same = np.logical_and.reduce([c.to_numpy() == c[-1].as_py() for c in tail])
+            cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if cut:
+                yield pairs(held.slice(0, cut).combine_chunks())
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield pairs(held.combine_chunks())
 
     return run
 
@@ -169,8 +209,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     work = Workspace(spark, "jaccard")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for seed in range(8):
-        table = work.keep(slim.mapInArrow(_described(width, num, den, seed), "doc_id long, n_shingles long, key long, check long, bins binary, sigs array<long>"), f"sets-{seed}")
-        nodes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min("bins").alias("bins"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("least"))
+        table = work.keep(slim.mapInArrow(_described(width, num, den, seed), "doc_id long, n_shingles long, key long, check long, sketch binary, wide binary, sigs array<long>"), f"sets-{seed}")
+        nodes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("least"))
         nodes = work.keep(nodes, f"nodes-{seed}")
         if nodes.where("lo <> hi or least <> n_shingles").isEmpty():
             break  # no two different sets share a 64-bit key
@@ -179,6 +219,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     bucket = Window.partitionBy("sig")
     exploded = table.where("n_shingles > 0").select(F.explode("sigs").alias("sig"), "key")
     live = work.keep(exploded.withColumns({"lo": F.min("key").over(bucket), "hi": F.max("key").over(bucket)}).where("lo <> hi").select("sig", "key", F.col("lo").alias("leader")).distinct(), "live")
+    slim_sets = work.keep(table.select("doc_id", "n_shingles", "key"), "documents")
+    work.drop(*(f"sets-{i}" for i in range(seed + 1)))
     members = work.keep(live.select("key").distinct().join(nodes.select("key", "rep"), "key"), "members")
     count = members.count()
     texts = work.keep(join_ids(slim.withColumnRenamed("doc_id", "rep"), members, "rep", count).dropDuplicates(["key"]).select("key", "text"), "texts")
@@ -188,21 +230,43 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(width, num, den), "a long, b long")
 
     first = live.where("key <> leader").groupBy("key").agg(F.min("leader").alias("b")).select(F.col("key").alias("a"), "b")
-    links = work.keep(verify(first), "links-1")
-    roots = work.keep(components(links, work, "stars"), "roots-1")
-    labelled = live.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
-    mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", (F.ceil(F.col("n") / BLOCK)).cast("int").alias("parts"))
-    split = labelled.join(mixed, "sig").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    pairs_of = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) as first, greatest(x, part) as second))")
-    split = split.withColumn("with", F.explode(pairs_of)).select("sig", "key", "root", "part", "with.first", "with.second")
-    split = split.join(nodes.select("key", "n_shingles", "bins"), "key")
-    second = split.groupBy("sig", "first", "second").applyInArrow(_compared(num, den), "a long, b long").distinct()
-    links = work.keep(verify(work.keep(second, "second")).unionByName(links), "links-2")
-    roots = work.keep(components(links, work, "all"), "roots-2")
+    links = work.keep(verify(first), "links-0")
+    roots = work.keep(components(links, work, "stars"), "roots-0")
+
+    def grouped(rows: DataFrame, roots: DataFrame, sketch: str) -> DataFrame:
+        """Members of buckets that span components, in blocks, sorted by group."""
+        labelled = rows.join(roots.withColumnRenamed("node", "key"), "key", "left").select("sig", "key", F.coalesce("root", "key").alias("root"))
+        mixed = labelled.groupBy("sig").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", (F.ceil(F.col("n") / BLOCK)).cast("int").alias("parts"))
+        split = labelled.join(mixed, "sig").withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        pairs_of = F.expr("transform(sequence(0, parts - 1), x -> struct(least(x, part) as first, greatest(x, part) as second))")
+        split = split.withColumn("with", F.explode(pairs_of)).select("sig", "key", "root", "part", "with.first", "with.second")
+        return split.join(nodes.select("key", "n_shingles", F.col(sketch).alias("sketch")), "key").repartition("sig", "first", "second").sortWithinPartitions("sig", "first", "second")
+
+    kinds = "sig long, a long, b long, far double"
+
+    def add(pairs: DataFrame, wave: int) -> None:
+        nonlocal links, roots
+        links = work.keep(verify(pairs).unionByName(links), f"links-{wave}")
+        roots = work.keep(components(links, work, f"wave-{wave}"), f"roots-{wave}")
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+        return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select(*pairs.columns)
+
+    near = work.keep(grouped(live, roots, "sketch").mapInArrow(_compared(num, den, True), kinds), "near")
+    if not near.isEmpty():
+        best = near.groupBy("a", "b").agg(F.min("far").alias("far"))
+        sides = best.select("a", "b", "far", F.col("a").alias("node")).unionByName(best.select("a", "b", "far", F.col("b").alias("node")))
+        add(work.keep(sides.groupBy("node").agg(F.min(F.struct("far", "a", "b")).alias("x")).select("x.a", "x.b").distinct(), "chosen-1"), 1)
+        add(work.keep(apart(near.select("a", "b").distinct()), "chosen-2"), 2)
+        again = live.join(near.select("sig").distinct(), "sig", "left_semi")
+        rest = grouped(again, roots, "wide").mapInArrow(_compared(num, den, False), kinds).select("a", "b").distinct()
+        add(work.keep(rest, "chosen-3"), 3)
     reps = nodes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     named = work.keep(reps.select("key", "rep", "root").join(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id"), "named")
-    out = work.keep(table.select("doc_id", "n_shingles", "key").join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "out")
-    work.drop(*(f"sets-{i}" for i in range(seed + 1)), *(f"nodes-{i}" for i in range(seed + 1)), "live", "members", "texts", "links-1", "links-2", "roots-1", "roots-2", "second", "named")
+    out = work.keep(slim_sets.join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "out")
+    work.drop(*(f"nodes-{i}" for i in range(seed + 1)), "documents", "live", "members", "texts", "near", "named")
+    work.drop(*(f"{name}-{i}" for name in ("links", "roots", "chosen") for i in range(4)))
     return out
 
 
