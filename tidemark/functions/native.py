@@ -85,7 +85,8 @@ def ratio(a, b) -> Column:
 def repair_mojibake(text) -> Column:
     """UTF-8 read as Latin-1, turned back where that lowers the count of telltale letters."""
     t = c(text)
-    marks = lambda x: F.regexp_count(x, F.lit("[ÃÂâ�]"))
+    # Letters that double decoding leaves behind.
+    marks = lambda x: F.regexp_count(x, F.lit("Ã|Â|â|ð|ï¿½"))
     guess = F.try_validate_utf8(F.encode(F.when(t.rlike("^[\\x{0}-\\x{FF}]*$"), t), "ISO-8859-1").cast("string"))
     return F.when((marks(t) > 0) & guess.isNotNull() & (marks(guess) < marks(t)), guess).otherwise(t)
 
