@@ -133,3 +133,21 @@ def test_manifests(spark):
     assert quality.cover_errors(inputs, shards).isEmpty() and quality.key_collisions(inputs).isEmpty()
     m = {"a": 1, "manifest_sha256": "x"}
     assert quality.self_hash(m) == quality.self_hash({"a": 1})
+
+
+def test_texts_and_predicates(spark):
+    domains = {" Example.com ": "example.com", "https://www.Shop.example.co.uk/a?b": "www.shop.example.co.uk", "https://u@a.com": None, "a.com:443": None, "localhost": None, "ftp://a.com": None, "a b.com": None, "-a.com": None, "x" * 64 + ".com": None}
+    for text, want in domains.items():
+        assert value(spark, N.lookup_domain(F.lit(text))) == want, text
+    xml = "<urlset><url><loc> https://a.com/1 </loc></url><loc>ftp://x</loc><LOC>http://a.com/2</LOC></urlset>"
+    assert value(spark, N.sitemap_locations(F.lit(xml))) == ["https://a.com/1", "http://a.com/2"]
+    assert value(spark, N.unblank_sha256(F.lit("\u00a0a "))) == value(spark, F.sha2(F.lit("a"), 256))
+    assert value(spark, N.severity_matches(F.lit("warning"), "medium")) and not value(spark, N.severity_matches(F.lit(None).cast("string"), "high"))
+
+
+def test_claimable_and_sound(spark):
+    jobs = spark.createDataFrame([(1, "queued", None, None, None), (2, "queued", 0, None, "2026-01-02"), (3, "crawling", 1, "2025-12-31", None), (4, "crawling", 1, "2026-01-02", None), (5, "queued", 3, None, None), (6, "completed", 0, None, None), (7, None, None, None, None), (8, "analysing", 1, None, None), (9, "analysing", 1, None, None)], "id int, status string, attempts int, lease string, retry string")
+    jobs = jobs.withColumn("lease_expires_at", F.col("lease").cast("timestamp")).withColumn("next_attempt_at", F.col("retry").cast("timestamp")).withColumn("created_at", F.when(F.col("id") == 9, F.lit("2025-12-31 23:50:00")).otherwise("2025-12-31").cast("timestamp"))
+    assert [r.id for r in jobs.where(N.claimable("2026-01-01")).orderBy("id").collect()] == [1, 3, 8]
+    pages = spark.createDataFrame([(200, None, ""), (200, "dns", None), (404, None, None), (None, None, None)], "status int, fetch_failure string, error string")
+    assert pages.where(N.sound_page()).count() == 1

@@ -145,3 +145,44 @@ def not_deleted(state) -> Column:
 
 def clamp(value: int, low: int, high: int) -> int:
     return max(low, min(high, int(value)))
+
+
+def unblank_sha256(text) -> Column:
+    """SHA-256 of a text without the white space around it."""
+    return F.sha2(F.regexp_replace(c(text), r"(?U)^\s+|\s+$", ""), 256)
+
+
+def lookup_domain(text) -> Column:
+    """The exact host that a link lookup may ask for; null for users, ports, other schemes, single labels and bad labels."""
+    t = F.trim(c(text))
+    url = F.when(t.rlike(r"^(?i)[a-z][a-z0-9+.-]*://"), t).otherwise(F.concat(F.lit("https://"), t))
+    host = comparable_host(F.regexp_extract(url, r"^(?i)https?://([^/?#:@]+)(?:[/?#].*)?$", 1))
+    label = r"[a-z0-9]([a-z0-9-]{0,61}[a-z0-9])?"
+    return F.when((F.length(t) <= 253) & ~t.rlike(r"\s") & host.rlike(rf"^{label}(\.{label})+$"), host)
+
+
+def sitemap_locations(xml) -> Column:
+    """Addresses of a sitemap or a sitemap index, in order."""
+    return F.regexp_extract_all(c(xml), F.lit(r"(?i)<loc>\s*(https?://[^<\s]+)\s*</loc>"), F.lit(1))
+
+
+def sound_page(status="status", failure="fetch_failure", error="error") -> Column:
+    """Fetched with 200 and without a failure; empty texts are no failure."""
+    empty = lambda x: c(x).isNull() | (c(x) == "")
+    return F.coalesce(c(status) == 200, F.lit(False)) & empty(failure) & empty(error)
+
+
+def severity_matches(severity, wanted: str) -> Column:
+    """The filter of an issue list: "all" takes each, "medium" takes warnings too."""
+    if wanted == "all":
+        return F.lit(True)
+    return F.coalesce(c(severity).isin(*(("medium", "warning") if wanted == "medium" else (wanted,))), F.lit(False))
+
+
+def claimable(now: str, status="status", attempts="attempts", lease="lease_expires_at", retry="next_attempt_at", created="created_at", most: int = 3, minutes: int = 15) -> Column:
+    """Jobs that a worker may take: queued and due, or begun with a lease that ran out; without a lease, begun a whole lease ago."""
+    at = F.lit(now).cast("timestamp")
+    due = (c(status) == "queued") & (c(retry).isNull() | (c(retry) <= at))
+    over = F.coalesce(c(lease), c(created) + F.expr(f"interval {int(minutes)} minutes"))
+    stale = c(status).isin("crawling", "analysing") & (over <= at)
+    return F.coalesce(due | stale, F.lit(False)) & (F.coalesce(c(attempts), F.lit(0)) < most)

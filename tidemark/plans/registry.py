@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import functions as F
 
+from ..functions import html
 from ..functions import native as N
 from ..operators import analytics, collections, graphdict, history, links, quality, search, seo
+from ..sources import archive, index
+from ..streaming import events as stream
 from . import views as V
 
 FLAGSHIP = "a2_referring_hosts"
@@ -345,3 +351,85 @@ def u6(spark, sf):
     o = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"), F.col("o_orderdate").alias("created_at"))
     change = o.where("id % 4 = 0").withColumn("state", F.lit("new")).withColumn("created_at", F.lit("2024-01-01").cast(o.schema["created_at"].dataType))
     return history.upsert(o, change.unionByName(change.withColumn("id", -F.col("id") - 1)), ["id"], ("created_at",))
+
+
+def _archive_rows(spark, sf):
+    """Envelopes made of the pages table, through the record parser; every ninth page has no HTTP part."""
+    p = V.table(spark, sf, "pages")
+    each = F.transform(F.sequence(F.lit(0), (F.col("page_id") % 3).cast("int")), lambda i: F.to_json(F.struct(F.lit("A@/href").alias("path"), F.concat(F.lit("../p/"), i.cast("string")).alias("url"), F.concat(F.lit("cafÃ© "), i.cast("string")).alias("text"))))
+    http = F.concat(F.lit('{"Response-Message":{"Status":200},"Headers":{"Content-Type":["text/html","x"]},"HTML-Metadata":{"Head":{"Title":"T'), (F.col("page_id") % 50).cast("string"), F.lit('"},"Links":['), F.array_join(each, ","), F.lit("]}}"))
+    payload = F.concat(F.lit('{"Envelope":{"WARC-Header-Metadata":{"WARC-Target-URI":"https://h'), F.col("page_id").cast("string"), F.lit('.example.com/a/b","WARC-Date":"2024-01-02T03:04:05Z"},"Payload-Metadata":{'), F.when(F.col("page_id") % 9 != 0, F.concat(F.lit('"HTTP-Response-Metadata":'), http)).otherwise(""), F.lit("}}}"))
+    zero = F.lit(0)
+    framed = p.select(F.concat(F.lit("in-"), (F.col("page_id") % 5).cast("string")).alias("input"), F.lit(1).cast("long").alias("input_bytes"), payload.alias("payload"), zero.alias("bad_framing"), F.lit(1).alias("seen"), zero.alias("bad_json"))
+    return archive.from_framed(framed, V.CRAWL)
+
+
+_AT = "'https://h' || page_id || '.example.com/a/b' AS source_url, 'h' || page_id || '.example.com' AS source_host, TIMESTAMP '2024-01-02 03:04:05' AS crawled_at"
+
+
+@query("p1_archive_pages", f"SELECT '{V.CRAWL}' AS crawl, {_AT}, '200' AS status, 'text/html; x' AS content_type, 'T' || page_id % 50 AS title, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS canonical FROM pages WHERE page_id % 9 <> 0")
+def p1(spark, sf):
+    return archive.pages(_archive_rows(spark, sf))
+
+
+@query("p2_archive_links", f"SELECT '{V.CRAWL}' AS crawl, {_AT}, 'https://h' || page_id || '.example.com/p/' || i AS target_url, 'h' || page_id || '.example.com' AS target_host, 'café ' || i AS anchor FROM (SELECT page_id, unnest(range(0, page_id % 3 + 1)) AS i FROM pages WHERE page_id % 9 <> 0)")
+def p2(spark, sf):
+    return archive.links(_archive_rows(spark, sf))
+
+
+@query("r1_archive_metrics", "SELECT 'in-' || page_id % 5 AS input, count(*) FILTER (WHERE page_id % 9 <> 0) AS pages_emitted, (sum(page_id % 3 + 1) FILTER (WHERE page_id % 9 <> 0))::BIGINT AS links_emitted, count(*) AS records_seen, (sum(page_id % 3 + 1) FILTER (WHERE page_id % 9 <> 0))::BIGINT AS encoding_repairs FROM pages GROUP BY 1")
+def r1_archive(spark, sf):
+    return archive.metrics(_archive_rows(spark, sf)).select("input", "pages_emitted", "links_emitted", "records_seen", "encoding_repairs")
+
+
+_IDX = "SELECT o_orderkey AS line_no, o_orderkey % 7 AS bad, 'https://a.com/' || o_custkey AS url, strftime(o_orderdate, '%Y%m%d') || '010203' AS stamp FROM orders"
+
+
+def _index(spark, sf):
+    o = V.table(spark, sf, "orders")
+    bad = F.col("o_orderkey") % 7
+    name = F.when(bad == 2, "elsewhere.gz").otherwise("crawl-data/C-1/segments/s/warc/a.warc.gz")
+    stamp = F.when(bad == 3, "20240230000000").otherwise(F.concat(F.date_format("o_orderdate", "yyyyMMdd"), F.lit("010203")))
+    line = F.to_json(F.struct(F.concat(F.lit("https://A.com/"), F.col("o_custkey").cast("string"), F.lit("#f")).alias("url"), stamp.alias("timestamp"), F.when(bad == 1, "404").otherwise("200").alias("status"), F.lit("text/html").alias("mime"), name.alias("filename"), F.col("o_orderkey").cast("string").alias("offset"), F.when(bad == 4, "0").otherwise("10").alias("length")))
+    return index.index_lines(o.select(F.col("o_orderkey").alias("line_no"), line.alias("value")), "C-1")
+
+
+@query("s23_index_faults", f"SELECT CASE bad WHEN 1 THEN 'malformed record' WHEN 2 THEN 'file name' WHEN 3 THEN 'timestamp' ELSE 'length' END AS fault, count(*) AS n FROM ({_IDX}) WHERE bad BETWEEN 1 AND 4 GROUP BY 1")
+def s23_faults(spark, sf):
+    return index.faults(_index(spark, sf))
+
+
+@query("s23_index_records", f"SELECT line_no, url AS normalized_url, stamp AS timestamp, line_no AS \"offset\" FROM ({_IDX}) WHERE bad IN (0, 5, 6) QUALIFY row_number() OVER (PARTITION BY url ORDER BY line_no) = 1")
+def s23_records(spark, sf):
+    return index.index_records(_index(spark, sf), "a.com").select("line_no", "normalized_url", "timestamp", "offset")
+
+
+_TEXT = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query("f27_html_pages", _P + f" SELECT url, {_TEXT.format('title')} AS title, {_TEXT.format('description')} AS description, noindex, n_h1 FROM p")
+def f27(spark, sf):
+    p = html.parsed_pages(V.table(spark, sf, "pages"))
+    return p.select("url", "title", "description", "noindex", F.size("h1").cast("long").alias("n_h1"))
+
+
+def _streamed(spark, sf, name, make):
+    """The result of a stream over the event table, run to its end; table and checkpoint lie in the shared folder."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    at = f"{top}/{name}-{uuid.uuid4().hex}"
+    schema = V.table(spark, sf, "events").schema
+    raw = stream.event_files(spark, sf, schema, only="events.parquet")
+    run = stream.write_latest(make(V.event_columns(raw.withColumn("ts", F.col("ts").cast("timestamp")))), f"{at}/table", f"{at}/checkpoint")
+    run.awaitTermination()
+    return spark.read.parquet(f"{at}/table")
+
+
+@query("t2_stream_page_views", _E + "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", page, count(*) AS views FROM ev GROUP BY 1, 2, 3")
+def t2_views(spark, sf):
+    views = _streamed(spark, sf, "page_views", stream.page_views)
+    return views.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "page", "views")
+
+
+@query("t2_stream_daily_views", _E + "SELECT website_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS pageviews FROM ev GROUP BY 1, 2")
+def t2_daily(spark, sf):
+    return _streamed(spark, sf, "daily", stream.daily_trend).drop("visitors")

@@ -66,7 +66,10 @@ def previous(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    return event_columns(table(spark, sf, "events"))
+
+
+def event_columns(e: DataFrame) -> DataFrame:
     user = F.col("user_id").cast("string")
     referrer = F.when(F.col("event_id") % 5 == 0, F.lit(None)).otherwise(F.concat(F.lit("https://Ref"), (F.col("event_id") % 7).cast("string"), F.lit(".example.net/x")))
     device = F.when(F.col("event_id") % 4 == 0, F.lit(None)).when(F.col("event_id") % 4 == 1, "mobile").otherwise("desktop")

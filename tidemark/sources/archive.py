@@ -137,8 +137,12 @@ def _envelopes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parsed(spark: SparkSession, paths: list[str] | str, crawl: str) -> DataFrame:
     """One row per record: its input, counters, page (null where it is no page) and links; narrow, nothing is shuffled."""
-    rows = framed(spark, paths).mapInPandas(_envelopes, _PARSED)
-    return rows.withColumn("crawl", F.lit(crawl))
+    return from_framed(framed(spark, paths), crawl)
+
+
+def from_framed(rows: DataFrame, crawl: str) -> DataFrame:
+    """`parsed` for records that are framed already."""
+    return rows.mapInPandas(_envelopes, _PARSED).withColumn("crawl", F.lit(crawl))
 
 
 def _shared():

@@ -17,9 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 LATE = "10 minutes"
 
 
-def event_files(spark: SparkSession, path: str, schema, files: int = 100) -> DataFrame:
-    """Parquet files that land in a folder; `files` bounds a micro-batch."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+def event_files(spark: SparkSession, path: str, schema, files: int = 100, only: str = "*.parquet") -> DataFrame:
+    """Parquet files that land in a folder and whose names match `only`; `files` bounds a micro-batch."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", only).parquet(path)
 
 
 def daily_trend(events: DataFrame, late: str = LATE) -> DataFrame:
