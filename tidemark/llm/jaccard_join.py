@@ -42,6 +42,8 @@ GROWTH = 1.5
 #: Bits of the parity sketch and of the wider one.
 SKETCH = 1024
 WIDE = 4096
+#: Sets of more features also have a sketch of at least one bit a feature; a fixed one is full before it can rule such a pair out.
+LONG = 4096
 #: Members of a bucket that are compared with each other in one group.
 BLOCK = 1024
 #: Texts of one Arrow batch.
@@ -97,13 +99,42 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, BATCH)
 
 
+def _parity(s: np.ndarray) -> bytes:
+    """Parity sketch of the least power of two of bits that is no less than the set."""
+    bits = 1 << (len(s) - 1).bit_length()
+    return np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % bits, minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Features that differ at least; the longer sketch is folded, whose parities add up."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    n = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(v.reshape(-1, n), axis=0) for v in (a, b))
+    return int(np.bitwise_count(a ^ b).sum(dtype=np.int64))
+
+
+def _plausible(num: int, den: int):
+    """Pairs (a, b) whose sizes and sketches leave room for a link."""
+
+    def run(batches):
+        for batch in _slices(batches):
+            t = batch.to_pydict()
+            good = []
+            for m, n, x, y in zip(t["m"], t["n"], t["x"], t["y"], strict=True):
+                limit = (m + n) * (den - num) // (den + num)
+                good.append(abs(m - n) <= limit and _apart(x, y) <= limit)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return run
+
+
 def _described(width: int, num: int, den: int, seed: int):
     salt = np.array([seed], np.uint64) * _A + np.uint64(1)
 
     def run(batches):
         for batch in _slices(batches):
             h, at = word_hashes(batch.column(1))
-            size, key, check, sketch, wide, sigs = [], [], [], [], [], []
+            size, key, check, sketch, wide, long, sigs = [], [], [], [], [], [], []
             for i in range(batch.num_rows):
                 s = shingle_set(h[at[i] : at[i + 1]], width)
                 size.append(len(s))
@@ -113,11 +144,12 @@ def _described(width: int, num: int, den: int, seed: int):
                 odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % WIDE, minlength=WIDE) & 1
                 wide.append(np.packbits(odd).tobytes())
                 sketch.append(np.packbits(np.bitwise_xor.reduce(odd.reshape(-1, SKETCH))).tobytes())
+                long.append(_parity(s) if len(s) > LONG else None)
                 sigs.append(signatures(s, num, den).view(np.int64))
             ends = np.cumsum([0] + [len(x) for x in sigs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "check", "sketch", "wide", "sigs"],
+                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.array(long, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))],
+                names=["doc_id", "n_shingles", "key", "check", "sketch", "wide", "long", "sigs"],
             )
 
     return run
@@ -209,8 +241,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     work = Workspace(spark, "jaccard")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for seed in range(8):
-        table = work.keep(slim.mapInArrow(_described(width, num, den, seed), "doc_id long, n_shingles long, key long, check long, sketch binary, wide binary, sigs array<long>"), f"sets-{seed}")
-        nodes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("least"))
+        table = work.keep(slim.mapInArrow(_described(width, num, den, seed), "doc_id long, n_shingles long, key long, check long, sketch binary, wide binary, long binary, sigs array<long>"), f"sets-{seed}")
+        nodes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"), F.min("long").alias("long"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("least"))
         nodes = work.keep(nodes, f"nodes-{seed}")
         if nodes.where("lo <> hi or least <> n_shingles").isEmpty():
             break  # no two different sets share a 64-bit key
@@ -226,6 +258,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     texts = work.keep(join_ids(slim.withColumnRenamed("doc_id", "rep"), members, "rep", count).dropDuplicates(["key"]).select("key", "text"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        """Sketches, a fiftieth of the texts, rule pairs out before texts are moved."""
+        side = lambda k, size, sketch: nodes.select(F.col("key").alias(k), F.col("n_shingles").alias(size), F.coalesce("long", "wide").alias(sketch))
+        pairs = pairs.join(side("a", "m", "x"), "a").join(side("b", "n", "y"), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(_plausible(num, den), "a long, b long")
         a, b = texts.select(F.col("key").alias("a"), F.col("text").alias("x")), texts.select(F.col("key").alias("b"), F.col("text").alias("y"))
         return pairs.join(a, "a").join(b, "b").select("a", "b", "x", "y").mapInArrow(_verified(width, num, den), "a long, b long")
 
