@@ -193,6 +193,56 @@ def test_language_model_is_a_distribution(spark):
     assert none.score == 0 and none.n_known == 0 and none.train_tokens == 0
 
 
+def backoff_scores(training, texts):
+    """Brute force: every n-gram of `training` counts, discounted absolutely, with backoff to the root."""
+    rows = [["<s>", *(t or "").split(), "</s>"] for t in training]
+    count = {n: {} for n in (1, 2, 3)}
+    for r in rows:
+        for n in count:
+            for i in range(1 if n == 1 else 0, len(r) - n + 1):
+                g = tuple(r[i : i + n])
+                count[n][g] = count[n].get(g, 0) + 1
+    total = sum(count[1].values())
+    after = {}
+    for n in (2, 3):
+        for g, c in count[n].items():
+            after.setdefault(g[:-1], {})[g[-1]] = c
+
+    def p(context, w):
+        if not context:
+            c = count[1].get((w,), 0)
+            return (c - 0.5) / total if c else 0.5 * len(count[1]) / total
+        if context not in after:
+            return p(context[1:], w)
+        seen = after[context]
+        n = sum(seen.values())
+        if w in seen:
+            return (seen[w] - 0.75) / n
+        return 0.75 * len(seen) / n / (1 - sum(p(context[1:], x) for x in seen)) * p(context[1:], w)
+
+    out = []
+    for t in texts:
+        r = ["<s>", *(t or "").split(), "</s>"]
+        out.append(sum(np.log10(p(tuple(r[max(0, i - 2) : i]), r[i])) for i in range(1, len(r))))
+    return out
+
+
+def test_language_model_counts_every_ngram(spark, monkeypatch):
+    rnd = random.Random(3)
+    words = [f"w{int(rnd.paretovariate(0.7)) % 300}" for _ in range(4000)]
+    texts = [" ".join(words[i * 25 : i * 25 + 25]) for i in range(160)] + ["lone words here", None, ""]
+    asked = texts[100:] + ["w1 w2 w1 never seen w3 lone words w1", "w1 lone words there", "w1 lone words there"]
+    for share, flush, part in ((1e-6, 4_000_000, 2_000_000), (1e-2, 500, 300)):
+        monkeypatch.setattr(lm_scoring, "WORD_SHARE", share)
+        monkeypatch.setattr(lm_scoring, "_BLOCK", flush, raising=False)
+        monkeypatch.setattr(lm_scoring, "PART", part, raising=False)
+        out = lm_scoring.lm_scores(frame(spark, asked), frame(spark, texts[:120] + texts[160:])).orderBy("doc_id").collect()
+        assert [r.score for r in out] == pytest.approx(backoff_scores(texts[:120] + texts[160:], asked), rel=1e-9)
+    twice = frame(spark, asked[:3])
+    out = lm_scoring.lm_scores(twice.unionByName(twice), frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.score for r in out[::2]] == pytest.approx(backoff_scores(texts, asked[:3])) and out[0] == out[1]
+
+
 def test_classifiers(spark):
     good = ["the quiet river ran along the old road number %d" % i for i in range(60)]
     bad = ["you idiot scum number %d goes away" % i for i in range(40)]
