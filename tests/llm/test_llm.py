@@ -184,6 +184,17 @@ def test_pii_bootstraps(spark):
     assert masked[4] == "<email><email> <ip>.5 999.1.1.1" and masked[5] is None
 
 
+def test_pii_word_contexts_and_spaced_numbers(spark):
+    seeds = ["+1 (988) 555-2485", "+1 988 555 2486", "+49 170 1234567", "+44 20 7946 0958"]
+    texts = [f"Call me at {x} tonight" for x in seeds] + [f"{x} is my number" for x in seeds] + [f"phone: {x}" for x in seeds]
+    asked = ["please call me at 0170-998877", "call me at 0170 998877", "(0170) 99 88 77 is my number", "phone: 0170 998877", "phone 0170-998877 ok", "built in 1999 100000 times", "phone: 12 34"]
+    rows = {r.doc_id - len(texts): r for r in pii.find_personal_data(frame(spark, texts + asked)).collect()}
+    found = [[asked[i][x.start : x.end] for x in rows[i].spans if x.kind == 4] for i in range(len(asked))]
+    assert found == [["0170-998877"], ["0170 998877"], ["(0170) 99 88 77"], ["0170 998877"], ["0170-998877"], [], []]
+    masked = {r.doc_id - len(texts): r.text for r in pii.masked(frame(spark, texts + asked)).collect()}
+    assert masked[3] == "phone: <phone>" and masked[0] == "please call me at <phone>"
+
+
 def test_language_model_is_a_distribution(spark):
     texts = ["a b a b c", "a b a b d", "b a", None, "a b a b c"] * 3
     out = lm_scoring.lm_scores(frame(spark, texts + ["zzz a"]), frame(spark, texts)).orderBy("doc_id").collect()

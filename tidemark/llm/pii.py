@@ -2,6 +2,7 @@
 
 Seeds are identifiers that patterns and checks prove (emails, IPv4 addresses,
 payment cards, phone numbers).  The labels that precede them ("phone:", "mail=")
+and the one to three words on either side ("call me at _", "_ is my number")
 become lexical patterns.  A graph of patterns and instances is scored in rounds:
 a pattern is as reliable as its instances are on average, an instance as its best
 pattern; reliable patterns then name identifiers that no check knows.
@@ -21,26 +22,32 @@ IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+#: Several groups of digits, joined by what may join them in a phone or card number.
+RUN = r"(?<![\p{L}0-9])[+(]*+[0-9]++(?:[\x20().-]++[0-9]++)++"
 KINDS = ("email", "ip", "card", "phone")
 #: Distinct seeds that a pattern needs, rounds of scoring, and the reliability that a pattern needs in the end.
 LEAST_SEEDS = 3
 ROUNDS = 3
 RELIABLE = 0.7
 LEAST_DIGITS = 6
-_SPAN = "struct<start:int,end:int,m:string,before:string>"
+#: Digits of the longest number that a run may be; words of the longest context.
+MOST_DIGITS = 19
+CONTEXT_WORDS = 3
+_SPAN = "struct<start:int,end:int,m:string,before:string,after:string>"
 
 
 def _located(t: Column, pattern: str, gate: Column) -> Column:
-    """All matches with code-point offsets and up to 64 characters before each."""
+    """All matches with code-point offsets and up to 64 characters before and after each, up to the next match."""
     none = F.expr(f"cast(array() as array<{_SPAN}>)")
     found = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
-    pieces = F.slice(F.split(t, pattern, -1), F.lit(1), F.size(found))
-    step = F.zip_with(found, pieces, lambda m, p: F.struct(F.length(p).alias("skip"), F.length(m).alias("size"), m.alias("m"), F.right(p, F.lit(64)).alias("before")))
+    parts = F.split(t, pattern, -1)
+    pieces = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("p"), F.slice(parts, F.lit(2), F.size(found)).alias("q"))
+    step = F.zip_with(found, pieces, lambda m, x: F.struct(F.length(x["p"]).alias("skip"), F.length(m).alias("size"), m.alias("m"), F.right(x["p"], F.lit(64)).alias("before"), F.left(x["q"], F.lit(64)).alias("after")))
 
     def add(a, x):
         start = a["at"] + x["skip"]
         end = start + x["size"]
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), x["before"].alias("before"))
+        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
         return F.struct(end.alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
 
     return F.when(gate, F.aggregate(step, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda a: a["out"])).otherwise(none)
@@ -74,8 +81,29 @@ def _label(before: Column) -> Column:
     return F.lower(F.regexp_extract(before, rf"(\p{{L}}[^{SPACE}]*[:=#])[{SPACE}]*$", 1))
 
 
+def _patterns(label: Column, before: Column, after: Column) -> Column:
+    """The lexical patterns of a place: its label, and the last words before and first words after the identifier `_`."""
+
+    def words(text):
+        bare = F.transform(F.split(F.lower(text), rf"[{SPACE}]+", -1), lambda w: F.regexp_replace(w, r"^[^\p{L}]+|[^\p{L}]+$", ""))
+        return F.filter(bare, lambda w: w != "")
+
+    def ends(a, left):
+        def some(n):
+            own = F.when(F.size(a) >= n, F.slice(a, -n if left else 1, n))
+            text = F.array_join(own, " ")
+            return F.concat(text, F.lit(" _")) if left else F.concat(F.lit("_ "), text)
+
+        return [some(n) for n in range(1, CONTEXT_WORDS + 1)]
+
+    # computed once per place: the words are lambda variables
+    sides = F.array(F.struct(words(before).alias("b"), words(after).alias("a")))
+    every = F.flatten(F.transform(sides, lambda x: F.array(F.when(label != "", label), *ends(x["b"], True), *ends(x["a"], False))))
+    return F.filter(every, lambda x: x.isNotNull())
+
+
 def _seed(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), _label(x["before"]).alias("label"), x["m"].alias("m"))
+    return lambda x: F.struct(F.lit(kind).alias("kind"), _patterns(_label(x["before"]), x["before"], x["after"]).alias("patterns"), x["m"].alias("m"))
 
 
 def _numbered(kind: int):
@@ -83,7 +111,7 @@ def _numbered(kind: int):
 
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: the base spans by kind, and the other candidates with their labels."""
+    """One row per document: the base spans by kind, and the other candidates with their patterns."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digit = F.regexp_like(F.col("t"), F.lit("[0-9]"))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t"))
@@ -94,6 +122,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.filter(_located(F.col("t"), CARD, digit), lambda x: _luhn(x["m"])).alias("card"),
         F.filter(_located(F.col("t"), PHONE, F.contains("t", F.lit("+"))), lambda x: F.length(_digits(x["m"])).between(10, 15)).alias("phone"),
         _located(F.col("t"), CANDIDATE, digit | F.contains("t", F.lit("@"))).alias("words"),
+        _located(F.col("t"), RUN, digit).alias("runs"),
     )
     every = F.concat(*[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))) for k in KINDS])
 
@@ -104,20 +133,30 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         lead = F.length(F.regexp_extract(body, r"^([(\"'\[]*)", 1))
         start = x["start"] + F.length(own) + lead
         end = F.greatest(start, x["end"] - tail)
-        return F.struct(start.alias("start"), end.alias("end"), F.substr(x["m"], F.length(own) + lead + 1, end - start).alias("m"), F.when(own != "", F.lower(own)).otherwise(_label(x["before"])).alias("label"))
+        return F.struct(start.alias("start"), end.alias("end"), F.substr(x["m"], F.length(own) + lead + 1, end - start).alias("m"), _patterns(F.when(own != "", F.lower(own)).otherwise(_label(x["before"])), F.concat(x["before"], F.lit(" "), own), x["after"]).alias("patterns"))
+
+    def run(x):
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["m"].alias("m"), _patterns(_label(x["before"]), x["before"], x["after"]).alias("patterns"))
+
+    def apart(spans):
+        return lambda x: ~F.exists(spans, lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"]))
 
-    words = F.filter(F.transform("words", candidate), lambda x: (x["label"] != "") & ((F.length(_digits(x["m"])) >= LEAST_DIGITS) | (x["m"].contains("@"))))
-    free = F.filter(words, lambda x: ~F.exists("every", lambda s: (s["start"] < x["end"]) & (s["end"] > x["start"])))
+    enough = F.filter("words", lambda x: (F.length(_digits(x["m"])) >= LEAST_DIGITS) | (x["m"].contains("@")))
+    free = F.filter(F.transform(F.filter(enough, apart("every")), candidate), lambda x: (F.length(_digits(x["m"])) >= LEAST_DIGITS) | (x["m"].contains("@")))
+    numbers = F.filter("runs", lambda x: F.length(_digits(x["m"])).between(LEAST_DIGITS, MOST_DIGITS))
+    numbers = F.transform(F.filter(numbers, apart("every")), run)
+    free = F.concat(F.filter(free, apart("numbers")), F.col("numbers"))
+    free = F.filter(free, lambda x: F.size(x["patterns"]) > 0)
     seeds = F.concat(*[F.transform(k, _seed(k)) for k in KINDS])
-    out = base.withColumn("every", every).select("doc_id", *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS], F.filter(seeds, lambda x: x["label"] != "").alias("seeds"), free.alias("free"))
+    out = base.withColumn("every", every).withColumn("numbers", numbers).select("doc_id", *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS], F.filter(seeds, lambda x: F.size(x["patterns"]) > 0).alias("seeds"), free.alias("free"))
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
 def reliable_patterns(table: DataFrame, work: Workspace) -> DataFrame:
-    """(label, kind, reliability) of the patterns that the graph of labels and instances proves."""
-    seeds = table.select(F.explode("seeds").alias("s")).select("s.label", "s.kind", "s.m").distinct()
+    """(label, kind, reliability) of the patterns that the graph of patterns and instances proves."""
+    seeds = table.select(F.explode("seeds").alias("s")).select(F.explode("s.patterns").alias("label"), "s.kind", "s.m").distinct()
     known = seeds.groupBy("label", "kind").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= LEAST_SEEDS)
-    loose = table.select(F.explode("free").alias("f")).select("f.label", "f.m").distinct().join(known.select("label").distinct(), "label", "left_semi")
+    loose = table.select(F.explode("free").alias("f")).select(F.explode("f.patterns").alias("label"), "f.m").distinct().join(known.select("label").distinct(), "label", "left_semi")
     edges = work.keep(seeds.select("label", "m").unionByName(loose).distinct().join(known.select("label").distinct(), "label", "left_semi"), "edges")
     sure = work.keep(seeds.select("kind", "m").distinct().withColumn("sure", F.lit(1.0)), "sure")
     size = edges.groupBy("label").agg(F.count("*").alias("size"))
@@ -142,15 +181,17 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Offsets count code points, end exclusive.  Null and empty texts have no span.
     Repeated rows are searched one by one; spans of different kinds may overlap;
-    of equal reliabilities the last kind by name wins a label.  Other columns are
+    of an instance's patterns the most reliable one names its kind, and of equal
+    reliabilities the last kind by name.  Other columns are
     ignored.
     """
     work = Workspace(docs.sparkSession, "pii")
     table = work.keep(_spans(docs, id_col, text_col), "spans")
     patterns = work.keep(reliable_patterns(table, work), "reliable")
     number = F.coalesce(*[F.when(F.col("kind") == k, F.lit(i)) for i, k in enumerate(KINDS, 1)])
-    loose = table.where(F.size("free") > 0).select("row", F.explode("free").alias("f")).select("row", "f.*")
-    found = loose.join(patterns, "label").groupBy("row").agg(F.collect_set(F.struct("start", number.alias("kind"), "end")).alias("found"))
+    loose = table.where(F.size("free") > 0).select("row", F.explode("free").alias("f")).select("row", "f.start", "f.end", F.explode("f.patterns").alias("label"))
+    best = loose.join(patterns, "label").groupBy("row", "start", "end").agg(F.max(F.struct("reliability", "kind")).alias("b")).select("row", "start", "end", "b.kind")
+    found = best.groupBy("row").agg(F.collect_set(F.struct("start", number.alias("kind"), "end")).alias("found"))
     base = F.concat(*[F.transform(k, _numbered(i)) for i, k in enumerate(KINDS, 1)])
     out = table.select("row", "doc_id", F.array_sort(base).alias("base")).join(found, "row", "left")
     return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("found", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")))).alias("spans"))
