@@ -278,6 +278,24 @@ def test_mixing_reaches_targets(spark):
     assert mixing.mixed(docs.limit(0), labelled).count() == 0
 
 
+@pytest.mark.parametrize("least, budget", [(0.0, 1.0), (1.0, 1.2), (1.0, 4.0)])
+def test_mixing_comes_as_near_as_the_bound_allows(spark, least, budget):
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet([0.3, 0.3, 0.3], 300) * 0.2 + 0.8 * np.eye(3)[rng.choice(3, 300, p=[0.9, 0.08, 0.02])]
+    n = rng.integers(5, 2000, 300)
+    table = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>")
+    goal = np.array([0.4, 0.3, 0.3])
+    steps, price, before, after = mixing.solve(table, 3, goal, least, budget)
+    r = mixing._closed(p, mixing._replay(p, steps, least)[0], price, least)
+    assert (n * r) @ p == pytest.approx(after) and r.min() >= least
+    # no rate may change alone for the better: zero slope above the bound, none below it at the bound
+    want = goal * before.sum() * budget
+    slope = p @ (after - want) / want.sum()
+    assert slope[r > least + 1e-9] == pytest.approx(0, abs=1e-3) and slope.min() > -1e-3
+    if least == 0 or budget == 4:
+        assert np.abs(after - want).max() < 1e-3 * want.sum()
+
+
 def test_licences(spark):
     texts = ["Released under the MIT Licence.\nwords", licences._MIT.replace("the Software", "The  SOFTWARE"), "Copyright (c) 2020 X\n" + licences._BSD_HEAD + "\n" + licences._BSD_END, None, "no"]
     got = {r.doc_id: (r.licence, r.line_licences) for r in licences.licence_scan(frame(spark, texts)).collect()}

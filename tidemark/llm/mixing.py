@@ -6,11 +6,15 @@ distance of the expected domain totals, sum of n * r * p, from the targets.  The
 problem is solved by accelerated projected gradient in the metric of token
 counts: an iteration is one pass that adds up as many numbers as there are
 domains, and a document's rate follows from its posterior and the gradients so
-far, so nothing but those gradients is carried along.
+far, so nothing but those gradients is carried along.  What a fixed number of
+iterations leaves is closed by Newton's method on the dual problem, whose unknowns
+are as many as domains: the rates of least change that reach the targets, or come
+as near to them as their bound allows.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 
 import numpy as np
@@ -29,6 +33,8 @@ SCALE = 30.0
 SAMPLE_ROWS = 2000
 MOST_STEPS = 40
 TOLERANCE = 1e-4
+#: Weight of the change of rates against the distance from the targets, by the largest curvature.
+RIDGE = 1e-7
 
 #: Target shares of tokens by domain: languages of sound text, and low-quality text.
 TARGETS = {"de": 0.15, "en": 0.55, "es": 0.10, "fr": 0.15, "low": 0.05}
@@ -90,6 +96,11 @@ def train(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int =
     return fit(y, index, count, len(domains))
 
 
+def _closed(p: np.ndarray, r: np.ndarray, price: np.ndarray | None, least: float) -> np.ndarray:
+    """Rates after the dual prices of the domains, if there are any."""
+    return r if price is None else np.maximum(least, r - p @ price)
+
+
 def _replay(p: np.ndarray, steps: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Rates and the extrapolated point of accelerated projected gradient after the given gradients."""
     r = point = np.ones(len(p))
@@ -106,8 +117,8 @@ def _table(batch: pa.RecordBatch, domains: int) -> np.ndarray:
     return batch["p"].flatten().to_numpy().reshape(-1, domains) if batch.num_rows else np.zeros((0, domains))
 
 
-def solve(table: DataFrame, domains: int, targets: np.ndarray, least: float, budget: float = 1.0) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Gradients whose replay gives the rates, and the totals before and after; `table` has n_tokens and p."""
+def solve(table: DataFrame, domains: int, targets: np.ndarray, least: float, budget: float = 1.0) -> tuple[list[np.ndarray], np.ndarray | None, np.ndarray, np.ndarray]:
+    """Gradients and dual prices whose replay gives the rates, and the totals before and after; `table` has n_tokens and p."""
 
     def totals(steps, moments):
         def run(batches):
@@ -132,7 +143,7 @@ def solve(table: DataFrame, domains: int, targets: np.ndarray, least: float, bud
     top = float(np.linalg.eigvalsh(first[2 * domains :].reshape(domains, domains))[-1]) if before.sum() else 0.0
     steps: list[np.ndarray] = []
     if top <= 0:
-        return steps, before, before
+        return steps, None, before, before
     at, after = first[:domains], before
     for _ in range(MOST_STEPS):
         steps.append((at - goal) / top)
@@ -140,17 +151,55 @@ def solve(table: DataFrame, domains: int, targets: np.ndarray, least: float, bud
         at, last, after = got[:domains], after, got[domains : 2 * domains]
         if min(np.abs(after - goal).max(), np.abs(after - last).max() * 10) <= TOLERANCE * goal.sum():
             break
-    return steps, before, after
+    if np.abs(after - goal).max() <= TOLERANCE * goal.sum():
+        return steps, None, before, after
 
+    def dual(price):
+        """Value of the dual problem, totals, and the curvature of the rates above their bound."""
+
+        def run(batches):
+            for batch in batches:
+                p, n = _table(batch, domains), batch["n_tokens"].to_numpy().astype(float)
+                start, _ = _replay(p, steps, least)
+                r = _closed(p, start, price, least)
+                free = n * (r > least)
+                got = np.concatenate([[n @ ((r - start) ** 2 / 2 + r * (p @ price))], (n * r) @ p, ((p * free[:, None]).T @ p).ravel()])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(got), dtype=np.int32)), pa.array(got)], names=["i", "v"])
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+        got = np.zeros(1 + domains + domains * domains)
+        for row in table.select("n_tokens", "p").mapInArrow(run, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect():
+            got[row["i"]] = row["v"]
+        value = got[0] - price @ goal - ridge * (price @ price) / 2
+        return value, got[1 : 1 + domains], got[1 + domains :].reshape(domains, domains)
+
+    ridge = RIDGE * top
+    price = np.zeros(domains)
+    value, after, curve = dual(price)
+    while True:
+        slope = after - goal - ridge * price
+        if np.abs(slope).max() <= TOLERANCE / 10 * goal.sum():
+            break
+        step, part = np.linalg.solve(curve + ridge * np.eye(domains), slope), 1.0
+        found = dual(price + step)
+        while found[0] < value + 1e-4 * part * (slope @ step) and part > 1e-6:
+            part /= 2
+            found = dual(price + part * step)
+        if found[0] <= value:
+            break  # no step rises any more in double precision
+        price = price + part * step
+        value, after, curve = found
+    return steps, price, before, after
+
+
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", reached: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, n_tokens, domain, posterior, rate) of every row.
 
     Targets are shares of `budget` times the tokens and are scaled to add up to one.  A null or
     empty text has no tokens, the prior as its posterior, and a rate like any
     other.  Ties of posteriors go to the first domain by name.  Repeated rows get
     equal rates; without labelled rows all domains are equally likely; other
-    columns are ignored.
+    columns are ignored.  The domains' shares of `budget` times the tokens that the
+    rates reach are put into `reached`; a target that cannot be met is logged.
     """
     targets = dict(sorted((targets or TARGETS).items()))
     domains = list(targets)
@@ -167,12 +216,18 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
 
     table = work.keep(slim.mapInArrow(run, "doc_id long, n_tokens long, p array<double>"), "posteriors")
-    steps, _, _ = solve(table, len(domains), goal, least, budget)
+    steps, price, before, after = solve(table, len(domains), goal, least, budget)
+    shares = dict(zip(domains, (after / max(1.0, before.sum() * budget)).tolist(), strict=True))
+    if reached is not None:
+        reached.update(shares)
+    missed = {d: (round(shares[d], 4), round(g, 4)) for d, g in zip(domains, goal.tolist(), strict=True) if before.sum() and abs(shares[d] - g) > 10 * TOLERANCE}
+    if missed:
+        logging.getLogger(__name__).warning("domains whose targets the rates cannot meet (reached, target): %s", missed)
 
     def rates(batches):
         for batch in batches:
             p = _table(batch, len(domains))
-            r, _ = _replay(p, steps, least)
+            r = _closed(p, _replay(p, steps, least)[0], price, least)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], pa.array([domains[k] for k in p.argmax(1)], pa.string()), pa.array(p.max(1) if len(p) else [], pa.float64()), pa.array(r, pa.float64())], names=["doc_id", "n_tokens", "domain", "posterior", "rate"])
 
     return table.mapInArrow(rates, "doc_id long, n_tokens long, domain string, posterior double, rate double")
