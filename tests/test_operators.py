@@ -151,3 +151,10 @@ def test_claimable_and_sound(spark):
     assert [r.id for r in jobs.where(N.claimable("2026-01-01")).orderBy("id").collect()] == [1, 3, 8]
     pages = spark.createDataFrame([(200, None, ""), (200, "dns", None), (404, None, None), (None, None, None)], "status int, fetch_failure string, error string")
     assert pages.where(N.sound_page()).count() == 1
+
+
+def test_duplicate_keys_query_has_no_row_limit(spark):
+    from tidemark.plans import registry
+
+    found = registry.QUERIES["a25_duplicate_keys"](spark, "/root/testdata/sf0.001")
+    assert "Limit" not in found._jdf.queryExecution().optimizedPlan().toString()

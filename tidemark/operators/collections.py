@@ -84,8 +84,9 @@ def count(table: DataFrame, spec: Collection, filters: dict | None = None) -> in
     return matching(table, spec, filters).count()
 
 
-def duplicate_keys(table: DataFrame, *key: str, most: int = 1000) -> DataFrame:
-    return table.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").limit(most)
+def duplicate_keys(table: DataFrame, *key: str, most: int | None = 1000) -> DataFrame:
+    found = table.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    return found if most is None else found.limit(most)
 
 
 def without_children(children: DataFrame, deleted: DataFrame, column: str) -> DataFrame:
