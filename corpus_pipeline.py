@@ -18,10 +18,20 @@ def keep_by_rules(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each_group(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of every component of near copies (five-word shingles, Jaccard of 0.8)."""
-    groups = jaccard_join.jaccard_components(docs)
-    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(firsts, docs["doc_id"].cast("long") == F.col("_id"), "left_semi").select(*docs.columns)
+    """The row of least id of every component of near copies (five-word shingles, Jaccard of 0.8).
+
+    Rows without an id are kept as others are, after those with one; of rows equal in
+    id and text one is kept.
+    """
+    work = Workspace(spark, "firsts")
+    groups = jaccard_join.jaccard_components(docs, rows=True)
+    least = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    linked = groups.where("root is not null").groupBy("root").agg(F.min(least).alias("x")).select("x.row")
+    firsts = linked.unionByName(groups.where("root is null").select("row")).distinct().select(F.col("row").alias("_row"))
+    again = work.keep(groups.groupBy("row").count().where("count > 1").select(F.col("row").alias("_row")), "again")
+    kept = docs.withColumn("_row", jaccard_join.row_number("doc_id", "text")).join(firsts, "_row", "left_semi")
+    once = kept.join(again, "_row", "left_anti").unionByName(kept.join(again, "_row", "left_semi").dropDuplicates(["_row"]))
+    return once.select(*docs.columns)
 
 
 def mask_personal_data(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

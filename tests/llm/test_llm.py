@@ -63,6 +63,18 @@ def test_jaccard_components(spark, width, num, den):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, width, num, den)
 
 
+def test_jaccard_rows_without_or_with_equal_ids(spark):
+    import corpus_pipeline
+
+    one, two, three = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, one), (None, one + " end"), (7, two), (7, three), (8, three + " end"), (9, "x y"), (9, "x y"), (None, "lone words"), (3, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.text): r.root for r in jaccard_join.jaccard_components(docs, rows=True).join(docs.withColumn("row", jaccard_join.row_number("doc_id", "text")).drop("doc_id"), "row").collect()}
+    assert got[None, one] == got[None, one + " end"] and got[7, three] == got[8, three + " end"] != got[7, two]
+    kept = sorted((r.doc_id or 0, (r.text or "")[:2]) for r in corpus_pipeline.one_of_each_group(spark, docs, "").collect())
+    assert kept == [(0, "a0"), (0, "lo"), (3, ""), (7, "b0"), (7, "c0"), (9, "x ")]
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, ["a"]).limit(0)).count() == 0
 

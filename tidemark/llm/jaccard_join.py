@@ -148,8 +148,8 @@ def _described(width: int, num: int, den: int, seed: int):
                 sigs.append(signatures(s, num, den).view(np.int64))
             ends = np.cumsum([0] + [len(x) for x in sigs])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.array(long, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))],
-                names=["doc_id", "n_shingles", "key", "check", "sketch", "wide", "long", "sigs"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(check, pa.int64()), pa.array(sketch, pa.binary()), pa.array(wide, pa.binary()), pa.array(long, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sigs) if sigs else [], pa.int64()))],
+                names=["doc_id", "row", "n_shingles", "key", "check", "sketch", "wide", "long", "sigs"],
             )
 
     return run
@@ -228,21 +228,30 @@ def _compared(num: int, den: int, nearest: bool):
     return run
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def row_number(id_col: str, text_col: str):
+    """A number of a row by its doc_id and text, null ids and texts included."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), F.col(text_col).cast("string"), F.col(text_col).isNull())
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: components of the links with Jaccard >= num/den.
 
     Texts are lower-cased in A-Z and cut into words; a text with fewer words than
     `width` has its whole sequence as one shingle.  Null or wordless texts have
     n_shingles 0 and link with nothing, not even with each other.  Rows that
     repeat a doc_id come back as often as they occur.  Ties cannot arise: a
-    component is named by its least doc_id.  Other columns are ignored.
+    component is named by its least doc_id, which is null where none of its rows has one.
+    Rows of one doc_id with different texts link by their own text.  Other columns
+    are ignored.  With `rows`, two columns more: row_number of the row and the number
+    of its component, whatever their doc_id is (null without words).
     """
     spark = docs.sparkSession
     work = Workspace(spark, "jaccard")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slim = slim.withColumn("row", row_number("doc_id", "text"))
     for seed in range(8):
-        table = work.keep(slim.mapInArrow(_described(width, num, den, seed), "doc_id long, n_shingles long, key long, check long, sketch binary, wide binary, long binary, sigs array<long>"), f"sets-{seed}")
-        nodes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"), F.min("long").alias("long"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("least"))
+        table = work.keep(slim.mapInArrow(_described(width, num, den, seed), "doc_id long, row long, n_shingles long, key long, check long, sketch binary, wide binary, long binary, sigs array<long>"), f"sets-{seed}")
+        nodes = table.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.min("row").alias("row"), F.max("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch"), F.min("wide").alias("wide"), F.min("long").alias("long"), F.min("check").alias("lo"), F.max("check").alias("hi"), F.min("n_shingles").alias("least"))
         nodes = work.keep(nodes, f"nodes-{seed}")
         if nodes.where("lo <> hi or least <> n_shingles").isEmpty():
             break  # no two different sets share a 64-bit key
@@ -251,11 +260,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     bucket = Window.partitionBy("sig")
     exploded = table.where("n_shingles > 0").select(F.explode("sigs").alias("sig"), "key")
     live = work.keep(exploded.withColumns({"lo": F.min("key").over(bucket), "hi": F.max("key").over(bucket)}).where("lo <> hi").select("sig", "key", F.col("lo").alias("leader")).distinct(), "live")
-    slim_sets = work.keep(table.select("doc_id", "n_shingles", "key"), "documents")
+    slim_sets = work.keep(table.select("doc_id", "row", "n_shingles", "key"), "documents")
     work.drop(*(f"sets-{i}" for i in range(seed + 1)))
-    members = work.keep(live.select("key").distinct().join(nodes.select("key", "rep"), "key"), "members")
+    members = work.keep(live.select("key").distinct().join(nodes.select("key", "row"), "key"), "members")
     count = members.count()
-    texts = work.keep(join_ids(slim.withColumnRenamed("doc_id", "rep"), members, "rep", count).dropDuplicates(["key"]).select("key", "text"), "texts")
+    texts = work.keep(join_ids(slim, members, "row", count).dropDuplicates(["key"]).select("key", "text"), "texts")
 
     def verify(pairs: DataFrame) -> DataFrame:
         """Sketches, a fiftieth of the texts, rule pairs out before texts are moved."""
@@ -298,8 +307,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         rest = grouped(again, roots, "wide").mapInArrow(_compared(num, den, False), kinds).select("a", "b").distinct()
         add(work.keep(rest, "chosen-3"), 3)
     reps = nodes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = work.keep(reps.select("key", "rep", "root").join(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id"), "named")
-    out = work.keep(slim_sets.join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")), "out")
+    named = work.keep(reps.select("key", "rep", "root").join(reps.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id", "root"), "named")
+    out = work.keep(slim_sets.join(named, "key", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), *(["row", F.when(F.col("n_shingles") > 0, F.col("root")).alias("root")] if rows else [])), "out")
     work.drop(*(f"nodes-{i}" for i in range(seed + 1)), "documents", "live", "members", "texts", "near", "named")
     work.drop(*(f"{name}-{i}" for name in ("links", "roots", "chosen") for i in range(4)))
     return out
