@@ -8,11 +8,26 @@ from pyspark.sql import functions as F
 from .workspace import Workspace
 
 
+#: Tasks that one hub's rows are dealt to.
+SALTS = 8
+
+
+def salt(column: str):
+    """The number that deals rows of one key to SALTS tasks."""
+    return F.pmod(F.xxhash64(F.lit(29), F.col(column)), F.lit(SALTS)).cast("int")
+
+
+def every_salt():
+    """A row for each salt: the other side of such a join."""
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """One star round on pairs (u, v) with u > v."""
     both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else pairs
     low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    told = both.join(low, "u")
+    # a hub of very many neighbours is dealt to several tasks
+    told = both.withColumn("salt", salt("v")).join(low.withColumn("salt", every_salt()), ["u", "salt"]).drop("salt")
     if large:
         return told.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
     return told.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()

@@ -144,4 +144,6 @@ def shingle_set(h: np.ndarray, width: int) -> np.ndarray:
     out = h[: n - w + 1] * _STEPS[0]
     for j in range(1, w):
         out = out + h[j : n - w + 1 + j] * _STEPS[j]
-    return np.unique(mix(out + np.uint64(w)))
+    out = mix(out + np.uint64(w))
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])]
