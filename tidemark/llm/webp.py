@@ -1,26 +1,35 @@
-"""Lossless WebP: a decoder for the whole format, and a writer for stored payloads.
+"""Lossless WebP: a decoder and an encoder of the format, and operators that store texts and read image files.
 
 The decoder reads prefix codes, back-references and the colour cache, and
 inverts the predictor, cross-colour, subtract-green and palette transforms.  It
-follows the published bitstream specification.  Streams whose five codes all
-have 256 symbols of eight bits and no transform (what `store` writes) are
-unpacked by array operations; every other stream takes the general path.
+follows the published bitstream specification; codes are read by table.  The
+encoder stores bytes as green samples: a palette of the bytes that occur (packed
+several to a pixel when they are few), back-references to earlier repeats, and
+prefix codes of the rest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Pixels of a row of stored payloads, one for each byte.
 UNIT = 576
-#: Pixels of a row of stored payloads: UNIT bytes as four samples each.
-ROW = UNIT // 4
 MOST_ROWS = 16384
+#: Bytes of the shortest repeat that becomes a back-reference, and the longest that one code can copy.
+LEAST_MATCH = 6
+MOST_MATCH = 4096
+#: Longest prefix code that the encoder makes.
+LONGEST_CODE = 12
+#: Bits that the decoder holds at a time.
+WINDOW = 256
 
 #: Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -33,9 +42,6 @@ _NEAR = (
     (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
-_REVERSED = np.array([int(f"{i:08b}"[::-1], 2) for i in range(256)], np.uint8)
-
-
 class Bits:
     """Reads little-endian bits."""
 
@@ -52,34 +58,38 @@ class Bits:
 
 
 class Code:
-    """A canonical prefix code given by its lengths."""
+    """A canonical prefix code given by its lengths: a table of (symbol, length) by the next `longest` bits."""
 
     def __init__(self, lengths: list[int]):
-        used = [(n, s) for s, n in enumerate(lengths) if n]
-        self.only = used[0][1] if len(used) == 1 else None
-        self.table: dict[tuple[int, int], int] = {}
-        self.longest = max((n for n, _ in used), default=0)
-        if not used:
-            self.only = 0
+        used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        self.only = (used[0][1] if used else 0) if len(used) < 2 else None
+        self.longest = 0 if self.only is not None else used[-1][0]
+        if self.only is not None:
+            self.table = [self.only << 4]
+            return
+        size = 1 << self.longest
+        table = [-1] * size
         code, last = 0, 0
-        for n, symbol in sorted(used):
+        for n, symbol in used:
             code <<= n - last
             last = n
-            self.table[n, code] = symbol
+            if code >= 1 << n:
+                raise ValueError("a prefix code is over-full")
+            table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = [symbol << 4 | n] * (size >> n)
             code += 1
-        if self.only is None and code != 1 << last:
+        if code != 1 << last:
             raise ValueError("a prefix code is not complete")
-        self.flat = len(used) == 256 and lengths[:256] == [8] * 256
+        self.table = table
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
-        code = 0
-        for n in range(1, self.longest + 1):
-            code = code << 1 | bits.read(1)
-            if (n, code) in self.table:
-                return self.table[n, code]
-        raise ValueError("no such code")
+        lo = bits.at >> 3
+        entry = self.table[int.from_bytes(bits.data[lo : lo + 4], "little") >> (bits.at & 7) & (1 << self.longest) - 1]
+        bits.at += entry & 15
+        if bits.at > 8 * len(bits.data):
+            raise ValueError("the stream ends early")
+        return entry >> 4
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
@@ -133,61 +143,169 @@ def _read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[_read_code(bits, n) for n in sizes] for _ in range(groups)]
     total = width * height
-    if groups == 1 and not cache_bits and all(c.flat for c in codes[0][:4]):
-        return _unpacked(bits, total)
-    if groups == 1 and all(c.only is not None for c in codes[0][:4]) and codes[0][0].only < 256:
-        g, r, b, a = (c.only for c in codes[0][:4])
-        return np.full(total, a << 24 | r << 16 | g << 8 | b, np.uint32)
-    out = np.zeros(total, np.uint32)
-    cache = np.zeros(1 << cache_bits, np.uint32)
+    if groups == 1 and not cache_bits and all(c.only is not None for c in codes[0][1:4]):
+        r, b, a = (c.only for c in codes[0][1:4])
+        return _read_one_channel(bits, codes[0][0], codes[0][4], width, total).astype(np.uint32) << np.uint32(8) | np.uint32(a << 24 | r << 16 | b)
+    out: list[int] = []
+    cache = [0] * (1 << cache_bits)
+    known = 0  # pixels that are in the cache so far; it is filled when a code of it comes
     across = width + (1 << shift) - 1 >> shift
-
-    def remember(lo: int, hi: int) -> None:
-        for v in out[lo:hi].tolist():
-            cache[(0x1E35A7BD * v & 0xFFFFFFFF) >> 32 - cache_bits] = v
-
-    at = 0
-    while at < total:
+    while len(out) < total:
+        at = len(out)
         green, red, blue, alpha, far = codes[meta[(at // width >> shift) * across + (at % width >> shift)] if meta is not None else 0]
         symbol = green.read(bits)
         if symbol < 256:
             r = red.read(bits)
             b = blue.read(bits)
-            out[at] = alpha.read(bits) << 24 | r << 16 | symbol << 8 | b
-            n = 1
+            out.append(alpha.read(bits) << 24 | r << 16 | symbol << 8 | b)
         elif symbol < 280:
             n = _length(symbol - 256, bits)
-            back = _length(far.read(bits), bits)
-            if back > 120:
-                back -= 120
-            else:
-                x, y = _NEAR[back - 1]
-                back = max(1, x + y * width)
-            if back > at or at + n > total:
-                raise ValueError("a back-reference leaves the image")
-            for i in range(at, at + n):
-                out[i] = out[i - back]
+            _copy(out, _distance(_length(far.read(bits), bits), width), n, total)
+        else:
+            for v in out[known:]:
+                cache[(0x1E35A7BD * v & 0xFFFFFFFF) >> 32 - cache_bits] = v
+            known = at
+            out.append(cache[symbol - 280])
+    return np.array(out, np.uint32)
+
+
+def _distance(code: int, width: int) -> int:
+    """How many pixels back a distance code points: the first 120 are places near the pixel."""
+    if code > 120:
+        return code - 120
+    x, y = _NEAR[code - 1]
+    return max(1, x + y * width)
+
+
+@lru_cache(maxsize=16)
+def _near_codes(width: int) -> dict[int, int]:
+    """The least near code of each distance that has one."""
+    return {_distance(c, width): c for c in range(120, 0, -1)}
+
+
+def _copy(out, back: int, n: int, total: int) -> None:
+    """Append n pixels from `back` places before the end, which may overlap what is appended."""
+    at = len(out)
+    if back > at or at + n > total:
+        raise ValueError("a back-reference leaves the image")
+    piece = out[at - back : at - back + n]
+    while len(piece) < n:
+        piece = piece + piece
+    out += piece[:n]
+
+
+def _several(code: Code) -> list[int]:
+    """The code's table with as many literals in an entry as its bits hold, three at most: literals << 8 | their number << 4 | bits."""
+    one = np.array(code.table, np.int64)
+    size, literal = one & 15, one < 4096
+    total, count, out = size.copy(), np.ones(len(one), np.int64), one >> 4
+    place = np.arange(len(one))
+    for more in (1, 2):
+        after = one[place >> total]
+        ok = literal & (count == more) & (after < 4096) & (total + (after & 15) <= code.longest)
+        out = np.where(ok, out | after >> 4 << 8 * more, out)
+        count = count + ok
+        total = np.where(ok, total + (after & 15), total)
+    return np.where(literal, out << 8 | count << 4 | total, -1).tolist()
+
+
+def _read_one_channel(bits: Bits, green: Code, far: Code, width: int, total: int) -> np.ndarray:
+    """Green values of an image whose other channels are constant, without a colour cache.
+
+    One pass over the bits reads literals, several at a time, and references; the
+    literals are then laid out in one step and the references copied in their order.
+    """
+    if green.only is not None:
+        if green.only > 255:
+            raise ValueError("a back-reference leaves the image")
+        return np.full(total, green.only, np.uint8)
+    data, end = bits.data, 8 * len(bits.data)
+    at, held, have = bits.at, 0, 0
+    table, low, several = green.table, (1 << green.longest) - 1, _several(green)
+    far_table, far_low = far.table, (1 << far.longest) - 1
+    got: list[int] = []
+    refs: list[tuple[int, int, int, int]] = []  # tokens before it, its place, length, distance
+    done = 0
+    add = got.append
+    while done < total:
+        if have < 64:  # a symbol, a length, a distance and their extra bits are 63 bits at most
+            if at > end:
+                raise ValueError("the stream ends early")
+            lo = at >> 3
+            held = int.from_bytes(data[lo : lo + WINDOW // 8], "little") >> (at & 7)
+            have = WINDOW - (at & 7)
+        entry = several[held & low]
+        if entry >= 0:
+            n = entry & 15
+            held >>= n
+            have -= n
+            at += n
+            add(entry)
+            done += entry >> 4 & 15
+            continue
+        entry = table[held & low]
+        n = entry & 15
+        prefix = (entry >> 4) - 256
+        if prefix >= 24:
+            raise ValueError("a colour cache code without a cache")
+        held >>= n
+        used = n
+        if prefix < 4:
+            size = prefix + 1
+        else:
+            extra = prefix - 2 >> 1
+            size = ((2 + (prefix & 1)) << extra) + (held & (1 << extra) - 1) + 1
+            held >>= extra
+            used += extra
+        entry = far_table[held & far_low]
+        n = entry & 15
+        held >>= n
+        used += n
+        prefix = entry >> 4
+        if prefix < 4:
+            back = prefix + 1
+        else:
+            extra = prefix - 2 >> 1
+            back = ((2 + (prefix & 1)) << extra) + (held & (1 << extra) - 1) + 1
+            held >>= extra
+            used += extra
+        have -= used
+        at += used
+        back = back - 120 if back > 120 else _distance(back, width)
+        if back > done or done + size > total:
+            raise ValueError("a back-reference leaves the image")
+        refs.append((len(got), done, size, back))
+        done += size
+    token = np.array(got, np.int64)
+    count = token >> 4 & 15
+    if done > total:  # the last entry holds literals beyond the image: they belong to what follows
+        over = done - total
+        rest = int(token[-1]) >> 8
+        n = int(count[-1]) - over
+        at += sum(green_length(green, rest >> 8 * i & 255) for i in range(n)) - (int(token[-1]) & 15)
+        count[-1] = n
+    if at > end:
+        raise ValueError("the stream ends early")
+    bits.at = at
+    out = np.empty(total, np.uint8)
+    shift = np.zeros(len(token) + 1, np.int64)
+    for before, _, size, _ in refs:
+        shift[before] += size
+    place = np.cumsum(count) - count + np.cumsum(shift)[: len(token)]
+    for i in range(3):
+        some = count > i
+        out[place[some] + i] = token[some] >> 8 * i + 8 & 255
+    for _, to, size, back in refs:
+        if back >= size:
+            out[to : to + size] = out[to - back : to - back + size]
         else:
-            out[at] = cache[symbol - 280]
-            n = 1
-        if cache_bits:
-            remember(at, at + n)
-        at += n
+            out[to : to + size] = np.resize(out[to - back : to], size)
     return out
 
 
-def _unpacked(bits: Bits, total: int) -> np.ndarray:
-    """Pixels of flat eight-bit codes: whole bytes at one bit offset, in the order green, red, blue, alpha."""
-    lo, off = bits.at >> 3, bits.at & 7
-    raw = np.frombuffer(bits.data, np.uint8, offset=lo)
-    if len(raw) * 8 - off < total * 32:
-        raise ValueError("the stream ends early")
-    if off:
-        raw = raw[: total * 4 + 1]
-        raw = raw[:-1] >> np.uint8(off) | raw[1:] << np.uint8(8 - off)
-    bits.at += 32 * total
-    p = _REVERSED[raw[: total * 4]].reshape(-1, 4)
-    return p[:, [2, 0, 1, 3]].copy().view("<u4").ravel()
+def green_length(code: Code, symbol: int) -> int:
+    """Bits of one symbol of a code."""
+    return next(e & 15 for e in code.table if e >> 4 == symbol)
 
 
 def _planes(p: np.ndarray) -> np.ndarray:
@@ -319,26 +437,172 @@ class BitWriter:
         self.n += n
 
 
-def _header(width: int, height: int) -> BitWriter:
-    w = BitWriter()
-    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
-        w.put(value, n)
-    return w
+def code_lengths(counts: list[int], longest: int) -> list[int]:
+    """Lengths of a prefix code of least total length; where one is too long, rare symbols count as more frequent."""
+    used = [(c, s) for s, c in enumerate(counts) if c]
+    out = [0] * len(counts)
+    if len(used) < 2:
+        for _, s in used:
+            out[s] = 1
+        return out
+    floor = 1
+    while True:
+        heap = [(max(c, floor), s, (s,)) for c, s in used]
+        heapq.heapify(heap)
+        depth = dict.fromkeys((s for _, s in used), 0)
+        while len(heap) > 1:
+            c, s, x = heapq.heappop(heap)
+            d, _, y = heap[0]
+            both = x + y
+            for t in both:
+                depth[t] += 1
+            heapq.heapreplace(heap, (c + d, s, both))
+        if max(depth.values()) <= longest:
+            break
+        floor *= 2
+    for s, n in depth.items():
+        out[s] = n
+    return out
+
+
+def code_bits(lengths: list[int]) -> np.ndarray:
+    """The bits of each symbol of a canonical code, first bit lowest."""
+    out = np.zeros(len(lengths), np.int64)
+    code, last = 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        last = n
+        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        code += 1
+    return out
 
 
-def _flat_codes(w: BitWriter) -> None:
-    """No transform, no colour cache, one group: 256 symbols of eight bits in four codes, one symbol in the last."""
-    w.put(0, 3)
-    for green in (1, 0, 0, 0):
-        w.put(0, 1)
-        w.put(12 - 4, 4)  # lengths up to that of symbol 8
-        for symbol in CODE_LENGTH_ORDER[:12]:
-            w.put(int(symbol == 8), 3)
-        w.put(green, 1)
-        if green:  # 256 of the 280 lengths follow
-            w.put(3, 3)
-            w.put(254, 8)
-    w.put(1, 4)  # a simple code of the symbol 0
+def _put_code(w: BitWriter, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Write a code for these counts; (bits, length) of each symbol."""
+    used = [s for s, c in enumerate(counts) if c] or [0]
+    if len(used) < 3 and used[-1] < 256:  # a simple code
+        w.put(1, 1)
+        w.put(len(used) - 1, 1)
+        w.put(1, 1)
+        for s in used:
+            w.put(s, 8)
+        bits, size = np.zeros(len(counts), np.int64), np.zeros(len(counts), np.int64)
+        if len(used) == 2:
+            size[used], bits[used[1]] = 1, 1
+        return bits, size
+    if len(used) == 1:  # two codes of one bit, as a simple code holds no symbol beyond 255
+        counts = [int(s in (0, used[0])) for s in range(len(counts))]
+    lengths = code_lengths(counts, LONGEST_CODE)
+    tokens, at = [], 0  # (symbol of the code-length code, extra bits, their number)
+    while at < len(lengths):
+        value, end = lengths[at], at + 1
+        while end < len(lengths) and lengths[end] == value:
+            end += 1
+        run = end - at
+        if value:
+            tokens.append((value, 0, 0))
+            run -= 1
+        while run >= 3:
+            n = min(run, 6 if value else 138 if run > 10 else 10)
+            tokens.append((16, n - 3, 2) if value else (17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
+            run -= n
+        tokens += [(value, 0, 0)] * run
+        at = end
+    seen = [0] * 19
+    for t, _, _ in tokens:
+        seen[t] += 1
+    first = code_lengths(seen, 7)
+    order = [first[s] for s in CODE_LENGTH_ORDER]
+    count = max(4, max(i for i, n in enumerate(order) if n) + 1)
+    w.put(0, 1)
+    w.put(count - 4, 4)
+    for n in order[:count]:
+        w.put(n, 3)
+    w.put(0, 1)
+    bits = code_bits(first).tolist()
+    single = sum(n > 0 for n in first) == 1
+    for t, extra, n in tokens:
+        if not single:
+            w.put(bits[t], first[t])
+        w.put(extra, n)
+    return code_bits(lengths), np.array(lengths)
+
+
+def _put_one(w: BitWriter, symbol: int) -> None:
+    """A code of one symbol, which takes no bits."""
+    w.put(5, 3)
+    w.put(symbol, 8)
+
+
+def _prefixed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(prefix symbol, extra bits, their number) of lengths or distance codes from 1 on."""
+    v = v.astype(np.int64) - 1
+    top = np.frexp(np.maximum(v, 1).astype(float))[1].astype(np.int64) - 1
+    extra = np.where(v < 4, 0, top - 1)
+    return np.where(v < 4, v, 2 * top + (v >> np.maximum(top - 1, 0) & 1)), np.where(v < 4, 0, v & (1 << extra) - 1), extra
+
+
+def _repeats(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, length, distance) of back-references to the last earlier place of the same LEAST_MATCH pixels, taken from the left."""
+    none = np.zeros(0, np.int64)
+    n = len(px) - LEAST_MATCH + 1
+    if n < 2:
+        return none, none, none
+    key = np.zeros(n, np.uint64)
+    for j in range(LEAST_MATCH):
+        key |= px[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+    order = np.argsort(key, kind="stable")
+    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    back = np.zeros(n, np.int64)
+    back[order[same + 1]] = order[same + 1] - order[same]
+    back[back > (1 << 20) - 120] = 0
+    ends = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, n)
+    until = np.repeat(ends, np.diff(np.append(0, ends))) + LEAST_MATCH - 1
+    places = np.flatnonzero(back)
+    if not len(places):
+        return none, none, none
+    follow = np.append(np.searchsorted(places, np.arange(len(px) + 1)), len(places)).tolist()
+    where, stop = places.tolist(), until[places].tolist()
+    out, i = [], 0
+    while i < len(where):
+        out.append(i)
+        i = follow[min(stop[i], where[i] + MOST_MATCH)]
+    at = places[out]
+    return at, np.minimum(until[at] - at, MOST_MATCH), back[at]
+
+
+def _image(w: BitWriter, px: np.ndarray, width: int) -> bytes:
+    """What follows `w`: green values in prefix codes with back-references; red and blue 0, alpha 255."""
+    at, size, back = _repeats(px)
+    near = _near_codes(width)
+    far = np.array([near.get(d, d + 120) for d in back.tolist()], np.int64)
+    covered = np.zeros(len(px) + 1, np.int64)
+    covered[at] += 1
+    covered[at + size] -= 1
+    literal = np.flatnonzero(np.cumsum(covered[:-1]) == 0)
+    length, length_extra, length_bits = _prefixed(size)
+    dist, dist_extra, dist_bits = _prefixed(far)
+    w.put(0, 1)  # no colour cache: literals of one channel gain nothing by it
+    w.put(0, 1)  # one group of codes
+    green, green_bits = _put_code(w, np.bincount(np.concatenate((px[literal].astype(np.int64), length + 256)), minlength=280).tolist())
+    for value in (0, 0, 255):
+        _put_one(w, value)
+    code, code_bits_ = _put_code(w, np.bincount(dist, minlength=40).tolist())
+    place = np.concatenate((literal, *[at] * 4))
+    rank = np.concatenate((np.zeros(len(literal), np.int64), *[np.full(len(at), i) for i in range(4)]))
+    value = np.concatenate((green[px[literal]], green[length + 256], length_extra, code[dist], dist_extra))
+    bits = np.concatenate((green_bits[px[literal]], green_bits[length + 256], length_bits, code_bits_[dist], dist_bits))
+    order = np.argsort(place * 4 + rank, kind="stable")
+    value, bits = value[order], bits[order]
+    start = w.n + np.cumsum(bits) - bits
+    total = w.n + int(bits.sum())
+    out = np.zeros((total + 7 >> 3) + 4)
+    spread = value << (start & 7)
+    for j in range(4):
+        out += np.bincount((start >> 3) + j, (spread >> 8 * j & 255).astype(float), minlength=len(out))
+    head = np.frombuffer(w.value.to_bytes(w.n + 7 >> 3, "little"), np.uint8)
+    out[: len(head)] += head
+    return out[: total + 7 >> 3].astype(np.uint8).tobytes()
 
 
 def _riff(body: bytes) -> bytes:
@@ -346,56 +610,70 @@ def _riff(body: bytes) -> bytes:
     return b"RIFF" + (4 + 8 + len(body) + len(pad)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body + pad
 
 
+def _header(width: int, height: int) -> BitWriter:
+    w = BitWriter()
+    for value, n in ((0x2F, 8), (width - 1, 14), (height - 1, 14), (1, 1), (0, 3)):
+        w.put(value, n)
+    return w
+
+
 def _stored(samples: np.ndarray) -> bytes:
+    """One file: samples as green values by a palette."""
     height = len(samples) // UNIT
-    px = samples.reshape(-1, 4)
-    w = _header(ROW, height)
-    if (px == px[0]).all():  # one colour: a palette of it, and codes without bits
-        w.put(1, 1)
-        w.put(3, 2)
-        w.put(0, 8)
-        w.put(0, 1)
-        for value in (px[0, 1], px[0, 0], px[0, 2], px[0, 3], 0):
-            w.put(1, 1)
-            w.put(0, 1)
-            w.put(1, 1)
-            w.put(int(value), 8)
-        w.put(0, 3)
-        for _ in range(5):
-            w.put(1, 4)
-        return _riff(w.value.to_bytes(w.n + 7 >> 3, "little"))
-    _flat_codes(w)
-    coded = _REVERSED[px[:, [1, 0, 2, 3]].ravel()]
-    whole, off = divmod(w.n, 8)
-    head = w.value.to_bytes(whole + 1, "little")
-    if off:
-        body = np.zeros(len(coded) + 1, np.uint8)
-        body[:-1] = coded << np.uint8(off)
-        body[1:] |= coded >> np.uint8(8 - off)
-        body[0] |= head[-1]
-    else:
-        body = coded
-    return _riff(head[:whole] + body.tobytes())
+    seen = np.flatnonzero(np.bincount(samples, minlength=256))
+    number = np.zeros(256, np.uint8)
+    number[seen] = np.arange(len(seen))
+    w = _header(UNIT, height)
+    w.put(1, 1)
+    w.put(3, 2)
+    w.put(len(seen) - 1, 8)
+    w.put(0, 1)  # the palette is an image of differences, in green; alpha starts at 255 and stays
+    steps = np.diff(np.append(0, seen)).tolist()
+    green, green_size = (x.tolist() for x in _put_code(w, np.bincount(steps, minlength=280).tolist()))
+    _put_one(w, 0)
+    _put_one(w, 0)
+    alpha, alpha_size = _put_code(w, np.bincount([255] + [0] * (len(steps) - 1), minlength=256).tolist())
+    _put_one(w, 0)
+    for i, v in enumerate(steps):
+        w.put(green[v], green_size[v])
+        w.put(int(alpha[0 if i else 255]), int(alpha_size[0 if i else 255]))
+    w.put(0, 1)
+    index = number[samples]
+    shift = 3 if len(seen) <= 2 else 2 if len(seen) <= 4 else 1 if len(seen) <= 16 else 0
+    if shift:  # UNIT is a multiple of 8, so rows pack without a rest
+        parts = index.reshape(-1, 1 << shift)
+        index = sum((parts[:, i] << np.uint8(i * (8 >> shift)) for i in range(1, 1 << shift)), parts[:, 0].copy())
+    return _riff(_image(w, index, UNIT >> shift))
 
 
 def store(payload: bytes) -> bytes:
-    """A payload of a positive multiple of UNIT bytes as files laid end to end: red, green, blue and alpha samples in order."""
+    """A payload of a positive multiple of UNIT bytes as files laid end to end, the green sample of a pixel for each byte."""
     samples = np.frombuffer(payload, np.uint8)
     step = UNIT * MOST_ROWS
     return b"".join(_stored(samples[i : i + step]) for i in range(0, len(samples), step))
 
 
-def restore(media: bytes) -> list[np.ndarray]:
-    """Pixel arrays (height, width, 4 samples) of files laid end to end."""
+def files(media: bytes) -> list[bytes]:
+    """The files that are laid end to end."""
     out, at = [], 0
     while at < len(media):
         size = 8 + int.from_bytes(media[at + 4 : at + 8], "little")
-        width, height, p = decode(media[at : at + size])
-        out.append(_planes(p)[:, [2, 1, 0, 3]].reshape(height, width, 4))
+        out.append(media[at : at + size])
         at += size
     return out
 
 
+def pixels(data: bytes) -> np.ndarray:
+    """The pixel array (height, width, red green blue alpha) of one file."""
+    width, height, p = decode(data)
+    return _planes(p)[:, [2, 1, 0, 3]].reshape(height, width, 4)
+
+
+def restore(media: bytes) -> list[np.ndarray]:
+    """Pixel arrays of files laid end to end."""
+    return [pixels(x) for x in files(media)]
+
+
 def padded(raw: bytes) -> bytes:
     """Bytes 255 up to a positive multiple of UNIT."""
     return raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
@@ -404,10 +682,11 @@ def padded(raw: bytes) -> bytes:
 def _row(raw: bytes) -> tuple:
     media = store(padded(raw))
     images = restore(media)
-    back = images[0].tobytes() if len(images) == 1 else b"".join(x.tobytes() for x in images)
-    sums = np.frombuffer(back, np.uint8).reshape(-1, 4).sum(0, dtype=np.int64)
+    back = b"".join(x[:, :, 1].tobytes() for x in images)
     rows = sum(len(x) for x in images)
-    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{ROW}x{rows}:" + ",".join(str(int(s) * 1000 // (rows * ROW)) for s in sums), media
+    seen = np.bincount(np.frombuffer(back, np.uint8), minlength=256)
+    mean = int((seen * np.arange(256)).sum()) * 1000 // len(back)
+    return len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), f"{UNIT}x{rows}:{int((seen > 0).sum())},{mean}", media
 
 
 _FIELDS = ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media")
@@ -427,7 +706,7 @@ def _run(full: bool):
     return run
 
 
-def media_column(docs: DataFrame, files: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def media_column(docs: DataFrame, with_files: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's bytes stored as lossless WebP, read back and described; `media` holds the file itself.
 
     Null and empty texts store one unit of 255s.  Equal texts give equal values;
@@ -435,9 +714,38 @@ def media_column(docs: DataFrame, files: bool = True, id_col: str = "doc_id", te
     several files end to end; other columns are ignored.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return slim.mapInArrow(_run(files), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * files)
+    return slim.mapInArrow(_run(with_files), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string" + ", media binary" * with_files)
+
+
+def decoded_column(images: DataFrame, media_col: str = "media", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, width, height, pixels, error) of every row of a binary column of lossless WebP files.
+
+    `pixels` holds the rows of the pixel array from the top, four samples (red,
+    green, blue, alpha) a pixel.  A null file gives nulls; a file that is broken or
+    of another kind gives its error and no pixels.  Repeated rows are decoded one
+    by one; other columns are ignored.
+    """
+
+    def one(data: bytes | None) -> tuple:
+        if data is None:
+            return None, None, None, None
+        try:
+            got = pixels(data)
+        except (ValueError, IndexError) as e:
+            return None, None, None, str(e)
+        return got.shape[1], got.shape[0], got.tobytes(), None
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 16):
+                batch = whole.slice(at, 16)
+                columns = list(zip(*[one(x) for x in batch.column(1).to_pylist()], strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True))], names=["doc_id", "width", "height", "pixels", "error"])
+
+    slim = images.select(F.col(id_col).cast("long").alias("doc_id"), F.col(media_col).cast("binary").alias("media"))
+    return slim.mapInArrow(run, "doc_id long, width int, height int, pixels binary, error string")
 
 
 def op7_webp(spark, sf_dir: str) -> DataFrame:
     """Contract query over the whole documents table."""
-    return media_column(spark.read.parquet(f"{sf_dir}/documents.parquet"), files=False)
+    return media_column(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_files=False)
