@@ -1,17 +1,21 @@
 """BPE encoding as a bounded-lookahead streaming transducer, and incremental decoding.
 
-A pretoken is read left to right.  Once it is longer than the sufficient
-lookahead of the merge list, the symbols up to a token boundary that lies at
-least that far from the end are stable: no later symbol can move the boundary.
-They are emitted and dropped, so memory stays constant for pretokens of any
-length.  Shorter pretokens are encoded whole, many at a time: in each round
-every pretoken merges its pair of least rank, all of them in a few array
-operations.  A merge can only create pairs of a higher rank than its own, which
-is checked when the vocabulary is loaded and bounds the lookahead.
+A pretoken is read left to right, a window at a time.  Tokens are emitted once
+they are stable: at its end all are, as no merge crosses it, and before that those
+whose boundary lies at least the merge list's sufficient lookahead before the last
+symbol read, for no later symbol can move it.  What is emitted is dropped, so
+memory stays constant for pretokens of any length.  Many pretokens are read in
+lockstep: in each round every one merges its pair of least rank, all of them in a
+few array operations.  A merge can only create pairs of a higher rank than its own,
+which is checked when the vocabulary is loaded and bounds the lookahead.
+
+Decoding is a state machine too: it takes ids and gives out text as far as the
+bytes so far form whole characters.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
@@ -25,10 +29,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose tokens a worker remembers.
-CACHE_WORDS = 250_000
+#: Bytes of the words and tokens that a worker remembers, each word taking ENTRY_BYTES besides, and the longest word among them.
+CACHE_BYTES = 64 << 20
+ENTRY_BYTES = 200
+CACHED_WORD = 128
+#: Bytes of the pretokens that are read in lockstep.
+LOCKSTEP_BYTES = 1 << 20
 #: Texts handled together.
 BATCH = 256
+#: Ids that the decoder takes at a time.
+DECODE_IDS = 4096
 NO_RANK = np.int64(1 << 40)
 
 #: The printable stand-ins of bytes in byte-level vocabularies.
@@ -62,10 +72,15 @@ class Bpe:
         left = np.array([vocab[a] for a, _ in merges], np.int64)
         right = np.array([vocab[b] for _, b in merges], np.int64)
         made = np.array([vocab[a + b] for a, b in merges], np.int64)
+        self.sizes = np.ones(int(max(vocab.values())) + 1, np.int64)
+        for a, b, c in zip(left.tolist(), right.tolist(), made.tolist(), strict=True):
+            self.sizes[c] = self.sizes[a] + self.sizes[b]
         self._check(left, right, made)
         self._build_table(left, right, made)
         self.lookahead = self._sufficient_lookahead(left, right, made)
-        self.cache: dict[str, tuple[bytes, str]] = {}
+        self.shown = [self.names.get(i, "") for i in range(max(self.names) + 1)]
+        self.cache: dict[str, bytes] = {}
+        self.cached = 0
         specials = "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True))
         self.cut = re.compile(f"({specials})") if specials else None
         low = [chr(i) for i in range(0x250)]
@@ -134,7 +149,7 @@ class Bpe:
             if chain > reach[a]:
                 reach[a] = chain
                 best = max(best, int(chain))
-        longest = max(len(t) for t in self.names.values())
+        longest = int(self.sizes.max())
         return (best + 1) * longest
 
     def merge(self, ids: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,37 +194,58 @@ class Bpe:
         order = np.argsort(word, kind="stable")
         return ids[order], word[order]
 
-    def encode_words(self, words: list[bytes], whole: bool = True) -> list[np.ndarray]:
-        """Token ids of each word; without `whole` the last symbol carries no word end."""
-        data = np.frombuffer(b"".join(words), np.uint8)
-        size = np.array([len(w) for w in words], np.int64)
-        ends = np.zeros(len(data), bool)
-        ends[np.cumsum(size) - 1] = True
+    def _tokens(self, pieces: list[bytes], whole: list[bool]) -> list[np.ndarray]:
+        """Token ids of each piece; the last symbol of a whole one carries the word end."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        size = np.array([len(w) for w in pieces], np.int64)
         ids = self.inner[data]
-        if whole:
-            ids = np.where(ends, self.last[data], ids)
-        ids, word = self.merge(ids, np.repeat(np.arange(len(words)), size))
+        ends = (np.cumsum(size) - 1)[np.array(whole)]
+        ids[ends] = self.last[data[ends]]
+        ids, word = self.merge(ids, np.repeat(np.arange(len(pieces)), size))
         return np.split(ids, np.flatnonzero(word[1:] != word[:-1]) + 1)
 
+    def _stable(self, ids: np.ndarray, window: int) -> tuple[np.ndarray, int]:
+        """The tokens that end within the window, and how many symbols they take."""
+        ends = np.cumsum(self.sizes[ids])
+        n = int(np.searchsorted(ends, window, "right"))
+        return ids[:n], int(ends[n - 1]) if n else 0
+
+    def transduce(self, words: list[bytes], window: int | None = None) -> list[np.ndarray]:
+        """Token ids of each pretoken; all are read in lockstep, at most a window and the lookahead of each at a time."""
+        window = window or 4 * self.lookahead
+        reach = window + self.lookahead
+        out: list[list[np.ndarray]] = [[] for _ in words]
+        at = [0] * len(words)
+        left = [i for i, w in enumerate(words) if w]
+        while left:
+            part, total = [], 0
+            while left and (not part or total < LOCKSTEP_BYTES):
+                part.append(left.pop())
+                total += min(reach, len(words[part[-1]]) - at[part[-1]])
+            whole = [len(words[i]) - at[i] <= reach for i in part]
+            got = self._tokens([words[i][at[i] : at[i] + reach] for i in part], whole)
+            for i, ended, ids in zip(part, whole, got, strict=True):
+                if ended:
+                    out[i].append(ids)
+                    continue
+                ids, step = self._stable(ids, window)
+                out[i].append(ids)
+                at[i] += step
+                left.append(i)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+
     def stream(self, symbols: Iterator[bytes], window: int | None = None) -> Iterator[int]:
         """Ids of one pretoken given in pieces, emitted as soon as they are stable."""
-        keep = self.lookahead
-        window = window or 4 * keep
+        window = window or 4 * self.lookahead
         held = b""
         for piece in symbols:
             held += piece
-            while len(held) > window + keep:
-                ids = self.encode_words([held[: window + keep]], whole=False)[0]
-                at = 0
-                for i in ids.tolist():
-                    step = len(self.names[i])
-                    if at + step > window:
-                        break
-                    yield i
-                    at += step
-                held = held[at:]
+            while len(held) > window + self.lookahead:
+                ids, step = self._stable(self._tokens([held[: window + self.lookahead]], [False])[0], window)
+                yield from ids.tolist()
+                held = held[step:]
         if held:
-            yield from self.encode_words([held])[0].tolist()
+            yield from self._tokens([held], [True])[0].tolist()
 
     def normalise(self, text: str) -> str:
         if self.nfc:
@@ -231,24 +267,24 @@ class Bpe:
             if piece:
                 yield piece, n % 2 == 1
 
-    def learn(self, words: set[str]) -> None:
-        """Fill the cache with the tokens of new words."""
-        new = [w for w in words if w not in self.cache]
-        if len(self.cache) + len(new) > CACHE_WORDS:
-            self.cache.clear()
-            new = list(words)
+    def learn(self, words: set[str]) -> dict[str, bytes]:
+        """Tokens of all words as little-endian 32-bit integers: remembered ones, and new ones from the transducer."""
+        got = {w: self.cache[w] for w in words if w in self.cache}
+        new = [w for w in words if w not in got]
         raw = [w.encode("utf-8", "surrogatepass") for w in new]
-        short = [i for i, w in enumerate(raw) if len(w) <= self.lookahead]
-        names = self.names
-        for i, ids in zip(short, self.encode_words([raw[i] for i in short]) if short else [], strict=True):
-            self.cache[new[i]] = ids.astype("<u4").tobytes(), " ".join([names[t] for t in ids.tolist()])
-        for w, b in zip(new, raw, strict=True):
-            if len(b) > self.lookahead:
-                ids = list(self.stream(b[i : i + 4096] for i in range(0, len(b), 4096)))
-                self.cache[w] = np.array(ids, "<u4").tobytes(), " ".join([names[t] for t in ids])
-
-    def encode_many(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """(ids as little-endian 32-bit integers, decoded text) of each text."""
+        for w, b, ids in zip(new, raw, self.transduce(raw), strict=True):
+            got[w] = ids.astype("<u4").tobytes()
+            if len(b) <= CACHED_WORD:
+                size = len(b) + len(got[w]) + ENTRY_BYTES
+                if self.cached + size > CACHE_BYTES:
+                    self.cache.clear()
+                    self.cached = 0
+                self.cache[w] = got[w]
+                self.cached += size
+        return got
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
         cut, words = [], set()
         for text in texts:
             found: list[str | int] = []
@@ -260,35 +296,60 @@ class Bpe:
                     found += got
                     words.update(got)
             cut.append(found)
-        self.learn(words)
-        out = []
-        for found in cut:
-            got = [self.cache[w] if isinstance(w, str) else (w.to_bytes(4, "little"), self.names[w]) for w in found]
-            out.append((b"".join([g[0] for g in got]), self.decode_pieces(g[1] for g in got)))
-        return out
+        known = self.learn(words)
+        return [b"".join([known[w] if isinstance(w, str) else w.to_bytes(4, "little") for w in found]) for found in cut]
 
-    @staticmethod
-    def decode_pieces(pieces: Iterator[str]) -> str:
-        return " ".join(pieces)
+    def decoder(self) -> Decoder:
+        """A fresh state machine that decodes a stream of ids."""
+        return Decoder(self.shown, self.plain_decode)
+
+    def decoded(self, ids: np.ndarray) -> str:
+        """Text of all ids, fed to the decoder in blocks."""
+        machine = self.decoder()
+        return "".join([*(machine.feed(ids[i : i + DECODE_IDS].tolist()) for i in range(0, len(ids), DECODE_IDS)), machine.finish()])
 
     def decode(self, ids: Iterator[int]) -> Iterator[str]:
-        """Text of a stream of ids, piece by piece.
+        """Text of a stream of ids, piece by piece."""
+        machine = self.decoder()
+        for i in ids:
+            yield machine.feed([i])
+        yield machine.finish()
 
-        Without a decoder in the file, tokens are shown as they are, a space
-        between them; otherwise bytes are gathered until they form whole
-        characters, and a broken sequence gives U+FFFD.
-        """
-        if self.plain_decode:
-            for n, i in enumerate(ids):
-                yield (" " if n else "") + self.names[i]
-            return
-        import codecs
 
-        back = {c: b for b, c in enumerate(byte_letters())}
-        state = codecs.getincrementaldecoder("utf-8")("replace")
-        for i in ids:
-            yield state.decode(bytes(back[c] for c in self.names[i]))
-        yield state.decode(b"", True)
+class Decoder:
+    """Text of ids, as far as it is certain.
+
+    Without a decoder in the file, tokens are shown as they are, a space between
+    them, and the state is whether one came before.  Otherwise tokens stand for
+    bytes, and the state is the start of a character whose end has not come; a
+    broken sequence gives U+FFFD.
+    """
+
+    def __init__(self, shown: list[str], plain: bool):
+        self.shown, self.plain, self.begun = shown, plain, False
+        self.bytes = {c: b for b, c in enumerate(byte_letters())}
+        self.state = codecs.getincrementaldecoder("utf-8")("replace")
+
+    def _raw(self, token: str) -> bytes:
+        """The bytes of a token; one with a letter that stands for no byte is plain text."""
+        try:
+            return bytes([self.bytes[c] for c in token])
+        except KeyError:
+            return token.encode("utf-8", "surrogatepass")
+
+    def feed(self, ids: list[int]) -> str:
+        shown = self.shown
+        if self.plain:
+            text = " ".join([shown[i] for i in ids])
+            if ids and self.begun:
+                text = " " + text
+            self.begun = self.begun or bool(ids)
+            return text
+        return self.state.decode(b"".join([self._raw(shown[i]) for i in ids]))
+
+    def finish(self) -> str:
+        """What is left at the end of the ids."""
+        return "" if self.plain else self.state.decode(b"", True)
 
 
 @lru_cache(maxsize=4)
@@ -302,12 +363,12 @@ def _run(path: str, full: bool):
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                got = bpe.encode_many(batch.column(1).to_pylist())
-                columns = [batch.column(0), pa.array([len(i) // 4 for i, _ in got], pa.int64())]
+                got = [np.frombuffer(x, "<u4") for x in bpe.encode_many(batch.column(1).to_pylist())]
+                columns = [batch.column(0), pa.array([len(x) for x in got], pa.int64())]
                 if full:
-                    columns += [pa.array([np.frombuffer(i, "<u4").astype(np.int64) for i, _ in got], pa.list_(pa.int64())), pa.array([d for _, d in got], pa.string())]
+                    columns += [pa.array([x.astype(np.int64) for x in got], pa.list_(pa.int64())), pa.array([bpe.decoded(x) for x in got], pa.string())]
                 else:
-                    columns += [pa.array([hashlib.sha256(i).hexdigest() for i, _ in got], pa.string()), pa.array([hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest() for _, d in got], pa.string())]
+                    columns += [pa.array([hashlib.sha256(x).hexdigest() for x in got], pa.string()), pa.array([hashlib.sha256(bpe.decoded(x).encode("utf-8", "surrogatepass")).hexdigest() for x in got], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", *(("ids", "decoded") if full else ("ids_sha256", "decoded_sha256"))])
 
     return run
