@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .components import components, every_salt, salt
 from .words import mix, shingle_set, word_hashes
-from .workspace import Workspace, join_ids
+from .workspace import Workspace, join_ids, row_number
 
 GROWTH = 1.5
 #: Second-level parts, and how many of them a signature leaves out, to choose from.
@@ -334,11 +334,6 @@ def _compared(num: int, den: int, nearest: bool):
     return run
 
 
-def row_number(id_col: str, text_col: str):
-    """A number of a row by its doc_id and text, null ids and texts included."""
-    return F.xxhash64(F.col(id_col).cast("long"), F.col(id_col).isNull(), F.col(text_col).cast("string"), F.col(text_col).isNull())
-
-
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", rows: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: components of the links with Jaccard >= num/den.
 

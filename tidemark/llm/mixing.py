@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .linear import Rows, adam, collected, labelled_sample
 from .words import word_parts
-from .workspace import Workspace
+from .workspace import Workspace, boxed, row_keys, unboxed
 
 BUCKET_BITS = 14
 #: Features are shares of a text's words, times this.
@@ -191,7 +191,7 @@ def solve(table: DataFrame, domains: int, targets: np.ndarray, least: float, bud
     return steps, price, before, after
 
 
-def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", reached: dict[str, float] | None = None) -> DataFrame:
+def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, least: float = 0.0, budget: float = 1.0, id_col: str = "doc_id", text_col: str = "text", reached: dict[str, float] | None = None, keys: bool = False) -> DataFrame:
     """(doc_id, n_tokens, domain, posterior, rate) of every row.
 
     Targets are shares of `budget` times the tokens and are scaled to add up to one.  A null or
@@ -200,6 +200,7 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     equal rates; without labelled rows all domains are equally likely; other
     columns are ignored.  The domains' shares of `budget` times the tokens that the
     rates reach are put into `reached`; a target that cannot be met is logged.
+    With `keys`, the two numbers of workspace.row_keys come too.
     """
     targets = dict(sorted((targets or TARGETS).items()))
     domains = list(targets)
@@ -213,9 +214,11 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
                 n, p = model.posteriors(batch.column(1))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", "n_tokens", "p"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(n, pa.int64()), pa.array(list(p), pa.list_(pa.float64()))], names=["doc_id", *numbers, "n_tokens", "p"])
 
-    table = work.keep(slim.mapInArrow(run, "doc_id long, n_tokens long, p array<double>"), "posteriors")
+    numbers = ("row", "row2") if keys else ()
+    number_kinds = "row long, row2 long, " if keys else ""
+    table = work.keep(slim.select("doc_id", "text", *(row_keys("doc_id", "text") if keys else [])).mapInArrow(run, f"doc_id long, {number_kinds}n_tokens long, p array<double>"), "posteriors")
     steps, price, before, after = solve(table, len(domains), goal, least, budget)
     shares = dict(zip(domains, (after / max(1.0, before.sum() * budget)).tolist(), strict=True))
     if reached is not None:
@@ -228,9 +231,9 @@ def mixed(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
         for batch in batches:
             p = _table(batch, len(domains))
             r = _closed(p, _replay(p, steps, least)[0], price, least)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], pa.array([domains[k] for k in p.argmax(1)], pa.string()), pa.array(p.max(1) if len(p) else [], pa.float64()), pa.array(r, pa.float64())], names=["doc_id", "n_tokens", "domain", "posterior", "rate"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], *(batch[c] for c in numbers), batch["n_tokens"], pa.array([domains[k] for k in p.argmax(1)], pa.string()), pa.array(p.max(1) if len(p) else [], pa.float64()), pa.array(r, pa.float64())], names=["doc_id", *numbers, "n_tokens", "domain", "posterior", "rate"])
 
-    return table.mapInArrow(rates, "doc_id long, n_tokens long, domain string, posterior double, rate double")
+    return table.mapInArrow(rates, f"doc_id long, {number_kinds}n_tokens long, domain string, posterior double, rate double")
 
 
 def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -239,13 +242,19 @@ def labelled_domains(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang").join(rated, "doc_id").select("doc_id", F.when(F.col("quality") == 0, "low").otherwise(F.col("lang")).alias("domain"))
 
 
-def copies(docs: DataFrame, rates: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as its rate says: the whole part, and one more by a hash of the id for the rest."""
-    chance = F.pmod(F.xxhash64("_id", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    n = (F.floor("_rate") + F.when(chance < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
-    by_id = rates.groupBy(F.col("doc_id").alias("_id")).agg(F.max("rate").alias("_rate"))
-    joined = docs.withColumn("_id", F.col("doc_id").cast("long")).join(by_id, "_id").withColumn("_n", n).where("_n > 0")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*docs.columns)
+def copies(docs: DataFrame, rates: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, each as often as its rate says: the whole part, and one more by a hash of the row for the rest.
+
+    `rates` come from `mixed` with `keys`.  Rates belong to the row's own id and
+    text, so rows that share an id, or have none, have each its own; repeated rows
+    are copied alike; rows without a rate go; column names may be any.
+    """
+    chance = F.pmod(F.xxhash64(F.lit(7), "row"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    n = (F.floor("rate") + F.when(chance < F.col("rate") - F.floor("rate"), 1).otherwise(0)).cast("int")
+    by_row = rates.groupBy("row", "row2").agg(F.max("rate").alias("rate")).select("row", "row2", n.alias("n")).where("n > 0")
+    box = F.col("box")
+    joined = boxed(docs).select("box", *row_keys(box.getField(id_col), box.getField(text_col))).join(by_row, ["row", "row2"])
+    return unboxed(joined.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))), docs.columns)
 
 
 def op9_mixing(spark, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import Workspace, join_ids
+from .workspace import Workspace, boxed, row_keys, unboxed
 
 SPACE = r"\x20\x09-\x0D"
 #: The quantifiers are possessive and starts are anchored, so matching is linear and never recurses; the matches are those of the plain forms.
@@ -114,9 +114,9 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """One row per document: the base spans by kind, and the other candidates with their patterns."""
     t = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     digit = F.regexp_like(F.col("t"), F.lit("[0-9]"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), t.alias("t"))
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), *(k.alias(f"key_{k_}") for k, k_ in zip(row_keys(id_col, text_col), "ab", strict=True)), t.alias("t"))
     base = base.select(
-        "doc_id",
+        "doc_id", "key_a", "key_b",
         _located(F.col("t"), EMAIL, F.contains("t", F.lit("@"))).alias("email"),
         F.filter(_located(F.col("t"), IP, digit), lambda x: _byte_parts(x["m"])).alias("ip"),
         F.filter(_located(F.col("t"), CARD, digit), lambda x: _luhn(x["m"])).alias("card"),
@@ -148,7 +148,7 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     free = F.concat(F.filter(free, apart("numbers")), F.col("numbers"))
     free = F.filter(free, lambda x: F.size(x["patterns"]) > 0)
     seeds = F.concat(*[F.transform(k, _seed(k)) for k in KINDS])
-    out = base.withColumn("every", every).withColumn("numbers", numbers).select("doc_id", *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS], F.filter(seeds, lambda x: F.size(x["patterns"]) > 0).alias("seeds"), free.alias("free"))
+    out = base.withColumn("every", every).withColumn("numbers", numbers).select("doc_id", "key_a", "key_b", *[F.transform(k, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias(k) for k in KINDS], F.filter(seeds, lambda x: F.size(x["patterns"]) > 0).alias("seeds"), free.alias("free"))
     return out.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -176,14 +176,14 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["kind"]), x["start"], x["end"])), ",")
 
 
-def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: bool = False) -> DataFrame:
     """(doc_id, base, spans) of every row: arrays of (start, kind number, end), sorted; `base` are the seeds.
 
     Offsets count code points, end exclusive.  Null and empty texts have no span.
     Repeated rows are searched one by one; spans of different kinds may overlap;
     of an instance's patterns the most reliable one names its kind, and of equal
     reliabilities the last kind by name.  Other columns are
-    ignored.
+    ignored.  With `keys`, the two numbers of workspace.row_keys come too.
     """
     work = Workspace(docs.sparkSession, "pii")
     table = work.keep(_spans(docs, id_col, text_col), "spans")
@@ -193,32 +193,33 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     best = loose.join(patterns, "label").groupBy("row", "start", "end").agg(F.max(F.struct("reliability", "kind")).alias("b")).select("row", "start", "end", "b.kind")
     found = best.groupBy("row").agg(F.collect_set(F.struct("start", number.alias("kind"), "end")).alias("found"))
     base = F.concat(*[F.transform(k, _numbered(i)) for i, k in enumerate(KINDS, 1)])
-    out = table.select("row", "doc_id", F.array_sort(base).alias("base")).join(found, "row", "left")
-    return out.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("found", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")))).alias("spans"))
+    out = table.select("row", "doc_id", "key_a", "key_b", F.array_sort(base).alias("base")).join(found, "row", "left")
+    named = [F.col("key_a").alias("row"), F.col("key_b").alias("row2")] if keys else []
+    return out.select("doc_id", *named, "base", F.array_sort(F.concat("base", F.coalesce("found", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")))).alias("spans"))
 
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of `docs` with every span replaced by its kind in angle brackets.
 
-    Rows of one doc_id should agree in their text; texts without spans, null ones
-    included, come back as they are.  Of overlapping spans the first one counts.
+    Spans belong to the row's own id and text, so rows that share an id, or have
+    none, are masked each by its own spans.  Texts without spans, null ones
+    included, come back as they are; repeated rows come back as often as they
+    occur; column names may be any.  Of overlapping spans the first one counts.
     """
-    spark = docs.sparkSession
-    work = Workspace(spark, "mask")
-    spans = work.keep(find_personal_data(docs, id_col, text_col).where(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("_spans")).withColumnRenamed("doc_id", "_id"), "spans")
-    n = spans.count()
-    joined = docs.withColumn("_id", F.col(id_col).cast("long"))
-    # the spans of a document take about 20 times an id
-    joined = join_ids(joined, spans, "_id", 20 * n, "left")
-    t = F.col(text_col)
+    work = Workspace(docs.sparkSession, "mask")
+    spans = find_personal_data(docs, id_col, text_col, keys=True).where(F.size("spans") > 0)
+    spans = work.keep(spans.groupBy("row", "row2").agg(F.first("spans").alias("spans")), "spans")
+    t, own = F.col("box").getField(text_col), F.col("box").getField(id_col)
+    # both sides are tables: Spark broadcasts the spans if their size allows, and else shuffles
+    joined = boxed(docs).select("box", *row_keys(own, t)).join(spans, ["row", "row2"], "left")
 
     def add(a, x):
         name = F.concat(F.lit("<"), F.element_at(F.array(*map(F.lit, KINDS)), x["kind"]), F.lit(">"))
         out = F.concat(a["out"], F.substr(t, a["at"] + 1, x["start"] - a["at"]), name)
         return F.when(x["start"] >= a["at"], F.struct(x["end"].alias("at"), out.alias("out"))).otherwise(a)
 
-    clean = F.aggregate("_spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1, F.length(t))))
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNull() | t.isNull(), t).otherwise(clean)).select(*docs.columns)
+    clean = F.aggregate("spans", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1, F.length(t))))
+    return unboxed(joined, docs.columns, **{text_col: F.when(F.col("spans").isNull() | t.isNull(), t).otherwise(clean)})
 
 
 def op5_pii(spark, sf_dir: str) -> DataFrame:

@@ -59,21 +59,17 @@ class Model:
         return sigmoid(z[:, None] - self.thresholds[None, :])
 
 
-def fit(grades: np.ndarray, index: list[np.ndarray], count: list[np.ndarray], ridge: float = 0.02) -> Model:
-    """Maximum likelihood of the cumulative logits with a ridge; gaps of thresholds stay positive."""
-    top = max(1, int(grades.max()) if len(grades) else 1)
-    x = Rows(index, [_scaled(c) for c in count], WIDTH)
-    n = max(1, len(grades))
-    share = np.array([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, top + 1)]).clip(0.01, 0.99)
-    first = -np.log(share / (1 - share))
-    gaps = np.log(np.maximum(np.diff(first), 1e-2))
-    reach = (grades[:, None] >= np.arange(1, top + 1)[None, :]).astype(float)
+def _cuts(p: np.ndarray) -> np.ndarray:
+    """Ascending thresholds of the first one and the logarithms of the gaps."""
+    return p[0] + np.concatenate([[0.0], np.cumsum(np.exp(p[1:]))])
 
-    def thresholds(p):
-        return p[0] + np.concatenate([[0.0], np.cumsum(np.exp(p[1:]))])
+
+def slope(x: Rows, grades: np.ndarray, top: int, ridge: float):
+    """The gradient of the mean negative log-likelihood of the cumulative logits, with a ridge on the weights."""
+    n, width = max(1, len(grades)), x.width
 
     def gradient(p):
-        w, cuts = p[:WIDTH], thresholds(p[WIDTH:])
+        w, cuts = p[:width], _cuts(p[width:])
         t = sigmoid(x.dot(w)[:, None] - cuts[None, :])
         upper = np.concatenate([np.ones((len(t), 1)), t], 1)
         lower = np.concatenate([t, np.zeros((len(t), 1))], 1)
@@ -89,11 +85,20 @@ def fit(grades: np.ndarray, index: list[np.ndarray], count: list[np.ndarray], ri
         dcut[at[has_low], g[has_low]] -= (slope_low / chance / n)[has_low]
         by_cut = dcut.sum(0)
         rest = np.cumsum(by_cut[::-1])[::-1]
-        return np.concatenate([x.back(dz) + ridge * w / n, [by_cut.sum()], rest[1:] * np.exp(p[WIDTH + 1 :])])
+        return np.concatenate([x.back(dz) + ridge * w / n, [by_cut.sum()], rest[1:] * np.exp(p[width + 1 :])])
+
+    return gradient
 
-    del reach
-    p = adam(np.concatenate([np.zeros(WIDTH), [first[0]], gaps]), gradient, 150, 0.08)
-    return Model(p[:WIDTH].astype(np.float32), thresholds(p[WIDTH:]))
+
+def fit(grades: np.ndarray, index: list[np.ndarray], count: list[np.ndarray], ridge: float = 0.02) -> Model:
+    """Maximum likelihood of the cumulative logits with a ridge; gaps of thresholds stay positive."""
+    top = max(1, int(grades.max()) if len(grades) else 1)
+    x = Rows(index, [_scaled(c) for c in count], WIDTH)
+    share = np.array([(grades >= k).mean() if len(grades) else 0.5 for k in range(1, top + 1)]).clip(0.01, 0.99)
+    first = -np.log(share / (1 - share))
+    gaps = np.log(np.maximum(np.diff(first), 1e-2))
+    p = adam(np.concatenate([np.zeros(WIDTH), [first[0]], gaps]), slope(x, grades, top, ridge), 150, 0.08)
+    return Model(p[:WIDTH].astype(np.float32), _cuts(p[WIDTH:]))
 
 
 def train(docs: DataFrame, ratings: DataFrame) -> Model:

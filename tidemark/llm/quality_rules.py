@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .workspace import boxed, unboxed
+
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -71,7 +73,9 @@ def scored(docs: DataFrame, text_col: str = "text", rules=RULES, keep: tuple[str
 
     Null and empty texts have zero words and fail `enough_words`.  Repeated rows
     are judged one by one.  A measure whose divisor is zero counts as 0.
-    Columns of `docs` outside `keep` are ignored, whatever their names.
+    Columns of `docs` outside `keep` are ignored, whatever their names.  A kept
+    column that has the name of one of the operator's own comes out as `input_` and
+    its name.
     """
     m = measures(F.col(text_col))
     base = docs.select(*[F.col(c).alias(f"k_{c}") for c in keep], *[c.alias(n) for n, c in m.items()])
@@ -101,7 +105,18 @@ def scored(docs: DataFrame, text_col: str = "text", rules=RULES, keep: tuple[str
     verdict = ~F.col("base_failed")
     for column in passed:
         verdict = verdict & F.col(column)
-    return base.withColumn("kept", verdict).withColumnsRenamed({f"k_{c}": c for c in keep})
+    base = base.withColumn("kept", verdict)
+    return base.withColumnsRenamed({f"k_{c}": f"input_{c}" if c in base.columns else c for c in keep})
+
+
+def kept_rows(docs: DataFrame, text_col: str = "text", rules=RULES) -> DataFrame:
+    """The rows of `docs` that pass every rule, with its own columns; a filter in one projection, nothing is shuffled.
+
+    Null, empty and wordless texts go, as they fail `enough_words`; repeated rows
+    stay or go together; column names may be any.
+    """
+    rows = boxed(docs).select("box", F.col("box").getField(text_col).alias("text"))
+    return unboxed(scored(rows, rules=rules, keep=("box",)).where("kept"), docs.columns)
 
 
 def op1_quality_rules(spark, sf_dir: str) -> DataFrame:

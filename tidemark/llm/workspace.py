@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -52,6 +53,25 @@ BROADCAST_IDS = 1_000_000
 
 def join_ids(big: DataFrame, ids: DataFrame, on: str, rows: int, how: str = "inner") -> DataFrame:
     """Join to a table of ids whose row count is known: broadcast below BROADCAST_IDS, shuffled beyond."""
-    from pyspark.sql import functions as F
-
     return big.join(F.broadcast(ids) if rows <= BROADCAST_IDS else ids, on, how)
+
+
+def row_number(id_col: str | Column, text_col: str | Column, seed: int = 0) -> Column:
+    """A number of a row by its doc_id and text, null ids and texts included."""
+    i, t = (F.col(c) if isinstance(c, str) else c for c in (id_col, text_col))
+    return F.xxhash64(*([F.lit(seed)] if seed else []), i.cast("long"), i.isNull(), t.cast("string"), t.isNull())
+
+
+def row_keys(id_col: str | Column, text_col: str | Column) -> list[Column]:
+    """Two independent numbers of a row, named row and row2: 128 bits, so that no two rows share them."""
+    return [row_number(id_col, text_col).alias("row"), row_number(id_col, text_col, 1).alias("row2")]
+
+
+def boxed(docs: DataFrame) -> DataFrame:
+    """All columns of `docs` in one struct, `box`, so that no name clashes with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("box"))
+
+
+def unboxed(df: DataFrame, columns: list[str], **replaced: Column) -> DataFrame:
+    """The columns of the box again, some of them replaced."""
+    return df.select(*[replaced.get(c, F.col("box").getField(c)).alias(c) for c in columns])
