@@ -75,6 +75,45 @@ def test_jaccard_rows_without_or_with_equal_ids(spark):
     assert kept == [(0, "a0"), (0, "lo"), (3, ""), (7, "b0"), (7, "c0"), (9, "x ")]
 
 
+@pytest.mark.parametrize("num,den", [(4, 5), (85, 100), (95, 100)])
+def test_signatures_of_similar_sets_meet(num, den):
+    rng = np.random.default_rng(num)
+    ups, plans = jaccard_join._bands(num, den)
+    assert {bool(p[2]) for p in plans if p} == {True, False}  # some bands leave out parts of the second level, others have one level
+    for m in [*range(2, 40), 60, 150, 400, 1500]:
+        for _ in range(12 if m < 100 else 4):
+            x = rng.integers(0, 2**63, m, dtype=np.uint64)
+            k = max(1, int(2 * m * (den - num) // (den + num)))
+            out, new = rng.integers(0, k + 1), rng.integers(0, k + 1)
+            y = np.unique(np.concatenate((x[: m - min(out, m - 1)], rng.integers(0, 2**63, new, dtype=np.uint64))))
+            x = np.unique(x)
+            both = len(np.intersect1d(x, y))
+            if den * both < num * (len(x) + len(y) - both) or both == len(x) == len(y):
+                continue
+            (a, own_a), (b, own_b) = jaccard_join.signatures(x, num, den), jaccard_join.signatures(y, num, den)
+            own = dict(zip(a.tolist(), own_a.tolist(), strict=True))
+            assert any(s in own and (own[s] or o) for s, o in zip(b.tolist(), own_b.tolist(), strict=True))
+            parts = [jaccard_join.signatures(x, num, den, 3, i)[0] for i in range(3)]
+            assert sorted(np.concatenate(parts).tolist()) == sorted(a.tolist())
+
+
+def test_jaccard_long_sets_and_buckets_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 6)
+    rnd = random.Random(9)
+    long = [f"w{rnd.randrange(4000)}" for _ in range(5200)]
+    texts = [" ".join(long)]
+    for i in range(24):  # a chain in which neighbours are similar, its ends are not
+        long[i * 200 : i * 200 + 20] = [f"v{i}x{j}" for j in range(20)]
+        if i % 3 == 2:
+            long[3000 : 3000 + 40 * i] = [f"u{i}x{j}" for j in range(40 * i)]
+        texts.append(" ".join(long))
+    short = [f"s{i}" for i in range(60)]
+    for i in range(40):
+        texts.append(" ".join(short[:i] + [f"t{i}"] + short[i + 1 :]) if i % 2 else " ".join(short[:30] + [f"z{i}x{j}" for j in range(30)]))
+    got = jaccard_join.jaccard_components(frame(spark, texts), 4, 85, 100)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, 4, 85, 100)
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, ["a"]).limit(0)).count() == 0
 
@@ -115,23 +154,137 @@ def test_bpe_matches_the_library(spark):
     path = bpe.vocabulary_path()
     lib, own = Tokenizer.from_file(path), bpe.Bpe(path)
     texts = [t or "" for t in EDGES] + ["It's <|endoftext|> they'll ΟΔΥΣΣΕΥΣ ½Ⅷ 漢字 👩‍👧", "ab" * 4000, "aaaa " * 9]
-    for t, (ids, text) in zip(texts, own.encode_many(texts), strict=True):
+    for t, ids in zip(texts, own.encode_many(texts), strict=True):
         want = lib.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(ids, "<u4").tolist() == want and text == lib.decode(want, skip_special_tokens=False)
-        assert "".join(own.decode(iter(want))) == text
+        assert np.frombuffer(ids, "<u4").tolist() == want and own.decoded(np.array(want, np.int64)) == lib.decode(want, skip_special_tokens=False)
+        assert "".join(own.decode(iter(want))) == own.decoded(np.array(want, np.int64))
     assert bpe.encoded(frame(spark, EDGES), path, digests=True).count() == len(EDGES)
 
 
-def test_webp_round_trip(spark):
-    for n in (0, 1, 575, 576, 577, 5000):
-        raw = random.Random(n).randbytes(n)
+def test_bpe_transducer_emits_the_same_tokens_at_any_window(monkeypatch):
+    own = bpe.Bpe(bpe.vocabulary_path())
+    rnd = random.Random(2)
+    words = ["".join(rnd.choice("abcdeit") for _ in range(n)).encode() for n in (1, 2, 50, 700, 9000)] + [b"a" * 7000, b""]
+    whole = [own._tokens([w], [True])[0].tolist() if w else [] for w in words]
+    for window in (1, 17, 400):
+        monkeypatch.setattr(own, "lookahead", 600)  # windows shorter than the words, so tokens are emitted before the end
+        assert [x.tolist() for x in own.transduce(words, window)] == whole
+        assert [list(own.stream((w[i : i + 33] for i in range(0, len(w), 33)), window)) for w in words] == whole
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 2000)
+    texts = [" ".join(rnd.choice("abcde") * rnd.randrange(1, 9) for _ in range(30)) for _ in range(20)]
+    assert own.encode_many(texts) == bpe.Bpe(bpe.vocabulary_path()).encode_many(texts) and own.cached <= 2000
+
+
+def test_bpe_decoder_waits_for_whole_characters():
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.vocabulary_path("byte_bpe_50k.json"))
+    shown = [lib.id_to_token(i) for i in range(lib.get_vocab_size())]
+    for text in ("héllo 漢字 👩\u200d👧 x", "", "plain words"):
+        ids = lib.encode(text).ids
+        for cut in (0, 3):
+            machine = bpe.Decoder(shown, False)
+            pieces = [machine.feed([i]) for i in ids[cut:]]
+            assert "".join(pieces) + machine.finish() == lib.decode(ids[cut:], skip_special_tokens=False)
+    machine = bpe.Decoder(shown, False)
+    first = lib.encode("漢").ids[:1]
+    assert machine.feed(first) == "" and machine.finish() == "\ufffd"
+
+
+WORDY = [random.Random(n).randbytes(n) for n in (0, 1, 575, 576, 577, 5000)] + [b"ab" * 3000, b"a" * 9000, bytes(range(16)) * 80, b"abc" * 700, bytes(range(256)) * 9, b"\xff" * 576, ("one two three four " * 90).encode()]
+
+
+def test_webp_round_trip(spark, monkeypatch):
+    for raw in WORDY:
         images = webp.restore(webp.store(webp.padded(raw)))
-        assert b"".join(x.tobytes() for x in images) == webp.padded(raw)
+        assert b"".join(x[:, :, 1].tobytes() for x in images) == webp.padded(raw)
+    taken = []
+    for name in ("_undo_palette", "_several", "_read_code"):
+        monkeypatch.setattr(webp, name, lambda *a, f=getattr(webp, name), n=name: (taken.append(n), f(*a))[1])
+    media = webp.store(webp.padded(WORDY[-1]))
+    webp.restore(media)
+    assert {"_undo_palette", "_several", "_read_code"} == set(taken) and len(media) < 300  # prefix codes, references and the palette are read
     rows = webp.media_column(frame(spark, EDGES)).collect()
     assert rows[0].n_bytes == 0 and rows[0].payload_bytes == 576 and rows[6].media_sha256 == rows[7].media_sha256
     assert hashlib.sha256(rows[3].media).hexdigest() == rows[3].media_sha256
 
 
+def libwebp():
+    import ctypes
+    import ctypes.util
+
+    name = ctypes.util.find_library("webp")
+    if not name:
+        pytest.skip("the box has no libwebp")
+    lib = ctypes.CDLL(name)
+    lib.WebPDecodeRGBA.restype = ctypes.c_void_p
+    lib.WebPEncodeLosslessRGBA.restype = ctypes.c_size_t
+    lib.WebPFree.argtypes = [ctypes.c_void_p]
+
+    def read(data):
+        w, h = ctypes.c_int(), ctypes.c_int()
+        at = lib.WebPDecodeRGBA(data, ctypes.c_size_t(len(data)), ctypes.byref(w), ctypes.byref(h))
+        out = np.frombuffer(ctypes.string_at(at, w.value * h.value * 4), np.uint8).reshape(h.value, w.value, 4).copy()
+        lib.WebPFree(at)
+        return out
+
+    def write(px):
+        out = ctypes.c_void_p()
+        n = lib.WebPEncodeLosslessRGBA(px.tobytes(), px.shape[1], px.shape[0], px.shape[1] * 4, ctypes.byref(out))
+        data = ctypes.string_at(out, n)
+        lib.WebPFree(out)
+        return data
+
+    return read, write
+
+
+def test_webp_agrees_with_an_independent_codec(spark, monkeypatch):
+    read, write = libwebp()
+    for raw in WORDY:
+        media = webp.store(webp.padded(raw))
+        assert (read(media) == webp.pixels(media)).all()
+    rng = np.random.default_rng(0)
+    y, x = np.mgrid[0:61, 0:83]
+    photo = np.stack([(np.sin(x / 9) * 60 + y * 2 + rng.integers(0, 6, x.shape)) % 256, (x + y) % 256, x * y / 20 % 256, np.full(x.shape, 255)], 2).astype(np.uint8)
+    flat = np.repeat(np.repeat(rng.integers(0, 256, (4, 5, 4), dtype=np.uint8), 9, 0), 11, 1)
+    few = (rng.integers(0, 3, (40, 41, 1)) * np.array([9, 70, 100, 0]) + np.array([0, 0, 0, 255])).astype(np.uint8)
+    coarse = (photo // 16 * 16).astype(np.uint8)
+    taken = set()
+    for name in ("_undo_palette", "_undo_predictor", "_undo_cross_colour", "_copy"):
+        monkeypatch.setattr(webp, name, lambda *a, f=getattr(webp, name), n=name: (taken.add(n), f(*a))[1])
+    made = [photo, rng.integers(0, 256, (20, 31, 4), dtype=np.uint8), flat, few, coarse, np.tile(photo, (3, 3, 1))]
+    stored = [write(px) for px in made]
+    for px, data in zip(made, stored, strict=True):
+        assert (webp.pixels(data) == read(data)).all()
+    assert taken == {"_undo_palette", "_undo_predictor", "_undo_cross_colour", "_copy"}
+    rows = [(i, data) for i, data in enumerate(stored)] + [(90, None), (91, b"no image"), (92, stored[0][:200])]
+    got = {r.doc_id: r for r in webp.decoded_column(spark.createDataFrame(rows, "doc_id long, media binary")).collect()}
+    assert all(got[i].pixels == read(data).tobytes() and got[i].width == px.shape[1] for i, (px, data) in enumerate(zip(made, stored, strict=True)))
+    assert got[90].pixels is None and got[90].error is None and got[91].error and got[92].error and got[92].pixels is None
+
+
+def test_webp_colour_cache():
+    """A hand-made file: two colours as literals, then by their places in the cache."""
+    w = webp._header(4, 1)
+    w.put(0, 1)
+    w.put(1, 1)
+    w.put(1, 4)  # a cache of two
+    w.put(0, 1)
+    colours = [0xFF000000 | g << 8 for g in (10, 20)]
+    place = [(0x1E35A7BD * c & 0xFFFFFFFF) >> 31 for c in colours]
+    counts = [0] * 282
+    for s in (10, 20, 280, 281):
+        counts[s] = 1
+    bits, size = webp._put_code(w, counts)
+    for v in (0, 0, 255, 0):
+        webp._put_one(w, v)
+    last = {p: c for p, c in zip(place, colours, strict=True)}
+    for s in (10, 20, 280 + place[1], 280 + place[0]):
+        w.put(int(bits[s]), int(size[s]))
+    _, _, p = webp.decode(webp._riff(w.value.to_bytes(w.n // 8 + 1, "little")))
+    assert p.tolist() == [*colours, last[place[1]], last[place[0]]]
+
+
 def test_webp_transforms_and_references():
     """A hand-made file: palette of two colours, one literal row, then a back-reference over the rest."""
     w = webp._header(8, 2)
@@ -164,6 +317,17 @@ def test_webp_transforms_and_references():
     assert green == [[30, 10] * 4, [30, 30, 10, 10] * 2]
 
 
+def test_code_lengths_are_best_or_bounded():
+    rnd = random.Random(4)
+    for n in (1, 2, 3, 40, 280):
+        counts = [rnd.choice([0, 1, 2, 1 << rnd.randrange(24)]) for _ in range(n)]
+        for longest in (9, 15):
+            lengths = webp.code_lengths(counts, longest)
+            used = [x for x in lengths if x]
+            assert [bool(x) for x in lengths] == [bool(c) for c in counts] and max(used, default=0) <= longest
+            assert len(used) < 2 or sum(2.0**-x for x in used) == 1
+
+
 def test_predictors_invert():
     rng = np.random.default_rng(1)
     px = rng.integers(0, 256, (6, 7, 4), dtype=np.uint8)
@@ -281,6 +445,104 @@ def test_classifiers(spark):
     assert toxicity.score(frame(spark, EDGES), toxicity.train(docs, labels.limit(0))).count() == len(EDGES)
 
 
+def test_ordinal_gradient_is_that_of_the_likelihood():
+    from tidemark.llm.linear import Rows
+
+    rng = np.random.default_rng(3)
+    width, top = 5, 3
+    dense = rng.normal(size=(30, width))
+    grades = rng.integers(0, top + 1, 30)
+    x = Rows([np.arange(width)] * 30, list(dense), width)
+
+    def loss(p):
+        cuts = p[width] + np.concatenate([[0], np.cumsum(np.exp(p[width + 1 :]))])
+        total = 0.0
+        for row, g in zip(dense, grades, strict=True):
+            below = [0.0, *(1 / (1 + np.exp(-(c - row @ p[:width]))) for c in cuts), 1.0]
+            total -= np.log(below[g + 1] - below[g])
+        return total / 30 + 0.02 * p[:width] @ p[:width] / 2 / 30
+
+    p = rng.normal(size=width + top) * 0.4
+    got = quality_model.slope(x, grades, top, 0.02)(p)
+    step = 1e-6 * np.eye(len(p))
+    assert got == pytest.approx([(loss(p + e) - loss(p - e)) / 2e-6 for e in step], abs=1e-5)
+
+
+def test_counterfactual_penalty_spares_neutral_mentions():
+    """Toxic texts name one group more often; with the penalty naming it is held against a neutral text no more."""
+    rnd = random.Random(1)
+    filler = [f"word{i}" for i in range(60)]
+    texts, labels = [], []
+    for i in range(400):
+        bad = i % 2
+        words = rnd.sample(filler, 6) + (["awful"] if bad and rnd.random() < 0.75 else []) + (["muslims"] if rnd.random() < (0.7 if bad else 0.05) else ["christians"] if rnd.random() < 0.4 else [])
+        rnd.shuffle(words)
+        texts.append(" ".join(words))
+        labels.append(bad)
+    import pyarrow as pa
+
+    plain, other = toxicity._pairs(pa.array(texts))
+    assert sum(len(x) > 0 for x in other) > 100
+    neutral = pa.array([" ".join(rnd.sample(filler, 6) + ["muslims"]) for _ in range(200)])
+    toxic = pa.array([" ".join(rnd.sample(filler, 6) + ["awful"]) for _ in range(200)])
+    without, with_ = (toxicity.fit(np.array(labels), plain, other, counterfactual=c) for c in (0.0, 30.0))
+    wrong = [int((m.score(neutral) >= 0.5).sum()) for m in (without, with_)]
+    assert wrong[0] > 150 and wrong[1] < 50 and (with_.score(toxic) >= 0.5).mean() > 0.9
+
+
+CLASHING = "doc_id long, text string, n_chars int, n_words int, kept boolean, _id long, _rate double, _n int, _copy int, row long, row2 long, box string, spans string, n int, rate double, copy int, lang string"
+
+
+def clashing_rows():
+    long = " ".join(f"the word{i} of" for i in range(40))
+    texts = [(1, "Mail a@b.com now. " + long), (1, long + " and the rest is 10.0.0.1 here"), (None, long + " or c@d.org"), (None, None), (5, ""), (6, long + " z"), (6, long + " z"), (7, "lone")]
+    return [(i, t, len(t or ""), 1, True, 2, 0.5, 3, 4, 5, 6, "b", "s", 7, 0.1, 8, "en") for i, t in texts]
+
+
+def test_stages_keep_clashing_columns_null_and_repeated_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame(clashing_rows(), CLASHING)
+    masked = {(r.doc_id, r.text) for r in corpus_pipeline.mask_personal_data(spark, docs, "").collect()}
+    assert not any(t and ("@" in t or "10.0.0.1" in t) for _, t in masked) and sum(bool(t) and "<ip>" in t for _, t in masked) == 1
+    assert {i for i, t in masked if t and "<email>" in t} == {1, None}
+    mixed = corpus_pipeline.mix_to_targets(spark, docs, str(tmp_path)).collect()
+    assert len(mixed) >= docs.count() and {(r.doc_id, r.text) for r in mixed} == {(r[0], r[1]) for r in clashing_rows()}
+    kept = corpus_pipeline.keep_by_rules(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 1, 1, 6, 6]
+    one = corpus_pipeline.one_of_each_group(spark, docs, "").collect()
+    assert sum(r.doc_id == 6 for r in one) <= 1 and {None, 5, 7} <= {r.doc_id for r in one}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    rules = quality_rules.scored(docs, keep=("doc_id", "n_words", "kept"))
+    assert {"input_n_words", "input_kept", "n_words", "kept"} <= set(rules.columns) and rules.count() == len(clashing_rows())
+
+
+def test_operators_on_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame(clashing_rows(), CLASHING)
+    labels = spark.createDataFrame([(1, 1), (6, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+    domains = spark.createDataFrame([(1, "en"), (6, "low"), (None, "de"), (7, None)], "doc_id long, domain string")
+    path = bpe.vocabulary_path()
+    runs = {
+        "rules": lambda d: quality_rules.scored(d),
+        "quality": lambda d: quality_model.score(d, quality_model.train(d, labels)),
+        "lm": lambda d: lm_scoring.lm_scores(d, d),
+        "join": lambda d: jaccard_join.jaccard_components(d),
+        "pii": lambda d: pii.find_personal_data(d),
+        "toxicity": lambda d: toxicity.score(d, toxicity.train(d, labels)),
+        "webp": lambda d: webp.media_column(d),
+        "bpe": lambda d: bpe.encoded(d, path),
+        "mixing": lambda d: mixing.mixed(d, domains),
+        "licences": lambda d: licences.licence_scan(d),
+    }
+    for name, run in runs.items():
+        assert run(docs).count() == len(clashing_rows()), name
+        assert run(docs.limit(0)).count() == 0, name
+
+
 def test_mixing_reaches_targets(spark):
     docs = frame(spark, ["the river and the road of stone"] * 60 + ["der fluss und die strasse aus stein"] * 20)
     labelled = spark.createDataFrame([(i, "en" if i < 60 else "de") for i in range(0, 80, 3)], "doc_id long, domain string")
@@ -308,6 +570,19 @@ def test_mixing_comes_as_near_as_the_bound_allows(spark, least, budget):
         assert np.abs(after - want).max() < 1e-3 * want.sum()
 
 
+def test_licences_of_whole_texts_and_long_lines(spark):
+    import pathlib
+
+    texts = ["SPDX-License-Identifier: MIT" + " *" * 2100, "Redistribution is fine\n" + licences._BSD_THIRD, licences._ZLIB.upper(), "x\nLicensed under the zlib Licence.\ny", "released under the cc by-sa 4.0"]
+    folder = pathlib.Path("/usr/share/common-licenses")
+    known = {"GPL-3": "GPL-3.0", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "LGPL-2.1": "LGPL-2.1"}
+    found = {k: v for k, v in known.items() if (folder / k).exists()}
+    texts += [(folder / k).read_text() for k in found]
+    got = [(r.licence, r.line_licences) for r in licences.licence_scan(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == ("MIT", ["MIT"]) and got[1] == (None, []) and got[2][0] == "Zlib" and got[3] == (None, ["Zlib"]) and got[4][1] == ["CC-BY-SA-4.0"]
+    assert [x[0] for x in got[5:]] == list(found.values())
+
+
 def test_licences(spark):
     texts = ["Released under the MIT Licence.\nwords", licences._MIT.replace("the Software", "The  SOFTWARE"), "Copyright (c) 2020 X\n" + licences._BSD_HEAD + "\n" + licences._BSD_END, None, "no"]
     got = {r.doc_id: (r.licence, r.line_licences) for r in licences.licence_scan(frame(spark, texts)).collect()}
