@@ -23,6 +23,49 @@ def stable_id(value) -> Column:
     return F.conv(F.substring(F.sha2(c(value), 256), 1, 16), 16, 10).cast("decimal(20,0)")
 
 
+def stable_key(value) -> Column:
+    """The stable id as a signed 64-bit number, which joins and groups by eight bytes; `unsigned` shows it."""
+    return F.conv(F.substring(F.sha2(c(value), 256), 1, 16), 16, -10).cast("long")
+
+
+def unsigned(key) -> Column:
+    """The unsigned id of a stable key."""
+    k = c(key).cast("decimal(20,0)")
+    return F.when(k < 0, k + F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(k).cast("decimal(20,0)")
+
+
+def inputs_sha256(paths, order="idx") -> Column:
+    """Aggregate: SHA-256 of the paths in order, a line feed between them. Inputs are a bounded list of files."""
+    return F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c(order).alias("o"), c(paths).alias("p")))), lambda x: x["p"]), "\n"), 256)
+
+
+def fixed(x, digits: int) -> Column:
+    """A number as text with so many decimals."""
+    return F.format_string(f"%.{int(digits)}f", c(x).cast("double"))
+
+
+def public_id(prefix: str, ts, entropy) -> Column:
+    """A time-sortable id: prefix, 12 hex digits of milliseconds, 20 hex digits of what makes it unique."""
+    return F.concat(F.lit(prefix), F.lower(F.lpad(F.hex(F.unix_millis(c(ts).cast("timestamp"))), 12, "0")), F.substring(F.sha2(c(entropy).cast("string"), 256), 1, 20))
+
+
+#: English names of country codes that reports show; other codes stay as they are.
+COUNTRIES = {
+    "AR": "Argentina", "AT": "Austria", "AU": "Australia", "BE": "Belgium", "BR": "Brazil", "CA": "Canada", "CH": "Switzerland", "CL": "Chile", "CN": "China", "CO": "Colombia", "CZ": "Czechia",
+    "DE": "Germany", "DK": "Denmark", "EG": "Egypt", "ES": "Spain", "FI": "Finland", "FR": "France", "GB": "United Kingdom", "GR": "Greece", "HK": "Hong Kong SAR China", "HU": "Hungary",
+    "ID": "Indonesia", "IE": "Ireland", "IL": "Israel", "IN": "India", "IT": "Italy", "JP": "Japan", "KE": "Kenya", "KR": "South Korea", "MX": "Mexico", "MY": "Malaysia", "NG": "Nigeria",
+    "NL": "Netherlands", "NO": "Norway", "NZ": "New Zealand", "PE": "Peru", "PH": "Philippines", "PK": "Pakistan", "PL": "Poland", "PT": "Portugal", "RO": "Romania", "RU": "Russia", "SA": "Saudi Arabia",
+    "SE": "Sweden", "SG": "Singapore", "TH": "Thailand", "TR": "Türkiye", "TW": "Taiwan", "UA": "Ukraine", "US": "United States", "VN": "Vietnam", "ZA": "South Africa",
+}
+
+
+def country_name(code) -> Column:
+    """The English name of a country code; an unknown code in upper case, and "Unknown" for none."""
+    upper = F.upper(c(code))
+    names = F.create_map(*[F.lit(x) for pair in COUNTRIES.items() for x in pair])
+    return F.when(c(code).isNull() | (c(code) == ""), "Unknown").otherwise(F.coalesce(F.try_element_at(names, upper), upper))
+
+
 def input_key(path) -> Column:
     return F.substring(F.sha2(c(path), 256), 1, 16)
 
@@ -120,9 +163,14 @@ def duration_band(millis) -> Column:
     return F.when(m < 3000, "fast").when(m < 30000, "acceptable").when(m < 180000, "slow").otherwise("over")
 
 
+#: What tells tablets and phones, in this order; anything else is a desktop.
+TABLET_AGENTS = "ipad|tablet|android(?!.*mobile)"
+MOBILE_AGENTS = "iphone|ipod|android|blackberry|opera mini|windows phone"
+
+
 def device_category(agent) -> Column:
     a = F.lower(c(agent))
-    return F.when(a.rlike("ipad|tablet|android(?!.*mobile)"), "tablet").when(a.rlike("mobi|iphone|android"), "mobile").otherwise("desktop")
+    return F.when(a.rlike(TABLET_AGENTS), "tablet").when(a.rlike(MOBILE_AGENTS), "mobile").otherwise("desktop")
 
 
 def browser_category(agent) -> Column:
@@ -130,12 +178,91 @@ def browser_category(agent) -> Column:
     return F.when(a.isNull() | (a == ""), "Unknown").when(a.contains("firefox"), "Firefox").when(a.contains("edg/"), "Edge").when(a.contains("chrome"), "Chrome").when(a.contains("safari"), "Safari").otherwise("Other")
 
 
+#: IPv4 ranges that a crawler must not visit.
+BLOCKED_IPV4 = (
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/16", "192.31.196.0/24", "192.52.193.0/24",
+    "192.88.99.0/24", "192.168.0.0/16", "192.175.48.0/24", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/3",
+)
+#: IPv6 ranges that it must not visit, besides those that carry a blocked IPv4 address.
+BLOCKED_IPV6 = ("::/127", "fc00::/7", "fe00::/8", "ff00::/8", "2001:db8::/32", "2001::/32", "2002::/16", "100::/32")
+#: Prefixes of 96 bits whose last 32 bits are an IPv4 address.
+CARRIES_IPV4 = ("::ffff:0:0", "::", "64:ff9b::")
+#: Names that never leave a private network, and their suffixes.
+BLOCKED_NAMES = ("localhost", "localhost.localdomain", "loopback", "metadata.google.internal", "metadata.aws.internal")
+BLOCKED_SUFFIXES = (".localhost", ".local", ".localdomain", ".internal", ".home")
+
+
+def ipv4_number(host) -> Column:
+    """A dotted address of four parts up to 255 as a number; null for anything else."""
+    part = "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
+    parts = F.transform(F.split(c(host), r"\."), lambda x: F.try_to_number(x, F.lit("999")).cast("long"))
+    number = F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a * 256 + x)
+    return F.when(c(host).rlike(rf"^{part}(\.{part}){{3}}$"), number)
+
+
+def _blocked_number(number: Column) -> Column:
+    import ipaddress
+
+    out = F.lit(False)
+    for block in map(ipaddress.ip_network, BLOCKED_IPV4):
+        out = out | number.between(int(block[0]), int(block[-1]))
+    return F.coalesce(out, F.lit(False))
+
+
 def private_ipv4(host) -> Column:
     """Addresses that a crawler must not visit."""
-    p = F.transform(F.split(c(host), r"\."), lambda x: x.cast("int"))
-    a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-    inside = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
-    return F.when(c(host).rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), inside).otherwise(F.lit(False))
+    return _blocked_number(ipv4_number(host))
+
+
+def ipv6_groups(host) -> Column:
+    """The eight 16-bit groups of an IPv6 address, with or without a dotted tail; null for anything else."""
+    h = F.lower(c(host))
+    dotted = F.regexp_extract(h, r"([0-9.]+)$", 1)
+    number = ipv4_number(dotted)
+    has_dot = h.contains(".")
+    plain = F.when(has_dot & number.isNotNull(), F.concat(F.regexp_replace(h, r"[0-9.]+$", ""), F.lower(F.hex(F.shiftright(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(0xFFFF))))).when(~has_dot, h)
+    groups = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ":"))
+    short = plain.contains("::")
+    sides = F.split(plain, "::", -1)
+    left, right = groups(F.get(sides, F.lit(0))), groups(F.coalesce(F.get(sides, F.lit(1)), F.lit("")))
+    gap = 8 - F.size(left) - F.size(right)
+    every = F.when(short, F.concat(left, F.array_repeat(F.lit("0"), F.greatest(gap, F.lit(0))), right)).otherwise(left)
+    sound = (F.size(sides) <= 2) & F.when(short, gap >= 1).otherwise(gap == 0) & F.forall(every, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(plain.contains(":") & sound, F.transform(every, lambda g: F.conv(g, 16, 10).cast("int")))
+
+
+def _in_block(groups: Column, block: str) -> Column:
+    import ipaddress
+
+    net = ipaddress.ip_network(block)
+    first, left, out = int(net[0]), net.prefixlen, F.lit(True)
+    for i in range(8):
+        bits = max(0, min(16, left - 16 * i))
+        if bits:
+            mask = 0xFFFF << (16 - bits) & 0xFFFF
+            out = out & (F.get(groups, F.lit(i)).bitwiseAND(F.lit(mask)) == (first >> 112 - 16 * i & mask))
+    return out
+
+
+def private_ipv6(host) -> Column:
+    """Addresses that a crawler must not visit, those among them that carry a blocked IPv4 address; text that is no address counts as one."""
+    g = ipv6_groups(host)
+    out = F.lit(False)
+    for block in BLOCKED_IPV6:
+        out = out | _in_block(g, block)
+    tail = F.get(g, F.lit(6)).cast("long") * 65536 + F.get(g, F.lit(7))
+    for prefix in CARRIES_IPV4:
+        out = out | (_in_block(g, f"{prefix}/96") & _blocked_number(tail))
+    return F.coalesce(out, F.lit(True))
+
+
+def unsafe_host(host) -> Column:
+    """Names and addresses that a crawler must not visit."""
+    h = F.regexp_replace(F.lower(F.regexp_replace(F.trim(c(host)), r"^\[(.*)\]$", "$1")), r"\.$", "")
+    name = h.isin(*BLOCKED_NAMES)
+    for suffix in BLOCKED_SUFFIXES:
+        name = name | h.endswith(suffix)
+    return F.coalesce(F.when(h.contains(":"), private_ipv6(h)).otherwise(name | private_ipv4(h)), F.lit(True))
 
 
 def not_deleted(state) -> Column:

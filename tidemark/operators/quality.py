@@ -36,7 +36,8 @@ def key_collisions(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def incomplete_triplets(artifacts: DataFrame, kinds=("pages", "links", "metrics")) -> DataFrame:
-    seen = artifacts.where(F.col("dataset").isin(*kinds)).groupBy("input_key").agg(F.countDistinct("dataset").alias("n"))
+    """(input_key, n): keys that have not one artifact of each kind; a key of other kinds alone has none."""
+    seen = artifacts.groupBy("input_key").agg(F.countDistinct(F.when(F.col("dataset").isin(*kinds), F.col("dataset"))).alias("n"))
     return seen.where(F.col("n") < len(kinds))
 
 
@@ -69,12 +70,6 @@ def missing_buckets(detail: DataFrame, buckets: int = 1024) -> DataFrame:
     return every.join(detail.select("target_host_bucket").distinct(), "target_host_bucket", "left_anti")
 
 
-def file_manifest(spark, path: str) -> DataFrame:
-    """Path, bytes and SHA-256 of every file below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-
-
 def quota(requests: DataFrame, user: str, ts: str, millis: int, most: int) -> DataFrame:
     """Requests with whether they fit the quota of their user's fixed window."""
     w = Window.partitionBy(user, "window_id").orderBy(ts, "request_id")

@@ -24,8 +24,9 @@ def overview(rows: DataFrame) -> DataFrame:
 
 
 def compared(current: DataFrame, previous: DataFrame, key: str) -> DataFrame:
-    """Current rows with structs `previous` and `change`; both null where the period before has no row. Of repeated earlier keys the last by `_ord` counts."""
-    last = previous.groupBy(key).agg(F.max_by(F.struct(*METRICS), F.col("_ord") if "_ord" in previous.columns else F.lit(0)).alias("previous"))
+    """Current rows with structs `previous` and `change`; both null where the period before has no row. Of repeated earlier keys the last by `_ord` counts, or without that column the greatest by its metrics."""
+    order = F.col("_ord") if "_ord" in previous.columns else F.struct(*METRICS)
+    last = previous.groupBy(key).agg(F.max_by(F.struct(*METRICS), order).alias("previous"))
     out = current.join(last, key, "left")
     change = F.struct(*[(F.col(m) - F.col(f"previous.{m}")).alias(m) for m in METRICS])
     return out.withColumn("change", F.when(F.col("previous").isNotNull(), change))
@@ -77,7 +78,9 @@ def opportunities(rows: DataFrame, order: str = "query") -> DataFrame:
     """The first rows of each kind in source order, which `order` stands for; one pass over the rows."""
     kinds = F.filter(F.array(*[F.when(F.expr(p), F.struct(F.lit(k).alias("kind"), F.lit(n).alias("most"))) for k, p, n in OPPORTUNITIES]), lambda x: x.isNotNull())
     found = rows.withColumn("k", F.explode(kinds)).select("*", "k.kind", "k.most")
-    return found.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy(order))).where("_n <= most").select("kind", order, *METRICS)
+    ranked = found.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy(order)))
+    # the constant bound lets every task keep its first rows alone before they are shuffled
+    return ranked.where(F.col("_n") <= max(n for _, _, n in OPPORTUNITIES)).where("_n <= most").select("kind", order, *METRICS)
 
 
 def periods(as_of: str, days: int) -> tuple[str, str, str, str]:
@@ -109,22 +112,25 @@ def full_report_totals(queries: DataFrame, daily: DataFrame) -> DataFrame:
     return out.select("clicks", "impressions", N.ratio("clicks", "impressions").alias("ctr"), "position")
 
 
-def device_share(rows: DataFrame) -> DataFrame:
-    total = F.sum("users").over(Window.partitionBy())
-    return rows.withColumn("share", N.half_up(100 * F.col("users") / F.when(total > 0, total).otherwise(1)).cast("long"))
+def indexing_overview(scans: DataFrame) -> DataFrame:
+    """What the latest scan of each website says of its index: scans has website_id, pages, critical and high."""
+    zero = lambda x: F.coalesce(x, F.lit(0))
+    return scans.select("website_id", F.greatest(zero(F.col("pages")) - zero(F.col("critical")), F.lit(0)).alias("indexed_pages"), zero(F.col("critical")).alias("not_indexed"), zero(F.col("critical")).alias("errors"), zero(F.col("high")).alias("excluded"))
 
 
-def ga_insights(rows: DataFrame) -> DataFrame:
-    kinds = (("poor_engagement", "sessions >= 5 and engagement_rate < 0.4"), ("high_bounce", "sessions >= 5 and bounce_rate > 0.6"))
-    out = None
-    for kind, rule in kinds:
-        part = rows.where(rule).orderBy("_ord").limit(3).withColumn("kind", F.lit(kind))
-        out = part if out is None else out.unionByName(part)
-    return out
+def keyword_list(facts: DataFrame, as_of: str, days: int = 28, most: int = 100) -> DataFrame:
+    """Queries of the last days by clicks, then impressions; ties by name."""
+    start = F.lit(as_of).cast("date") - F.expr(f"interval {int(days)} days")
+    rows = report(facts.where((F.col("date") >= start) & (F.col("date") <= F.lit(as_of).cast("date"))), ["query"])
+    return rows.orderBy(F.desc("clicks"), F.desc("impressions"), "query").limit(most)
 
 
-CONVERSIONS = ("purchase", "generate_lead", "sign_up", "conversion", "submit_form")
+def both_sections(queries: DataFrame, pages: DataFrame) -> DataFrame:
+    """Query rows, then page rows: (section, key, metrics, _ord), in that order."""
+    one = lambda df, name, key, at: df.select(F.lit(name).alias("section"), F.col(key).alias("key"), *METRICS, F.struct(F.lit(at).alias("section"), F.col(key).alias("key")).alias("_ord"))
+    return one(queries, "query", "query", 0).unionByName(one(pages, "page", "page", 1))
 
 
-def conversions(rows: DataFrame, name: str = "event_name") -> DataFrame:
-    return rows.where(F.lower(name).isin(*CONVERSIONS))
+def scale(rows: DataFrame, column: str, *by: str) -> DataFrame:
+    """The greatest value of a series, one at least: what a chart is scaled by."""
+    return rows.groupBy(*by).agg(F.greatest(F.coalesce(F.max(column), F.lit(1)), F.lit(1)).alias("scale"))

@@ -84,13 +84,14 @@ _ID = "CAST(CAST('0x' || substr(sha256({0}), 1, 16) AS UBIGINT) AS VARCHAR)"
 @query("r5_dictionary_urls", f"WITH {V.LINKS_SQL}, pg AS (SELECT DISTINCT crawl, source_url, source_host, source_url || '?c' AS canonical FROM links WHERE source_url LIKE '%7'), u AS (SELECT source_url AS url, source_host AS host FROM pg UNION ALL SELECT source_url, source_host FROM links UNION ALL SELECT target_url, target_host FROM links UNION ALL SELECT canonical, NULL FROM pg) SELECT {_ID.format('url')} AS url_id, url, {_ID.format('min(host)')} AS host_id FROM u WHERE url IS NOT NULL GROUP BY url")
 def r5_urls(spark, sf):
     d = graphdict.dictionaries(V.link_pages(spark, sf), V.links(spark, sf))["urls"]
-    return d.select(F.col("url_id").cast("string").alias("url_id"), "url", F.col("host_id").cast("string").alias("host_id"))
+    return d.select(N.unsigned("url_id").cast("string").alias("url_id"), "url", N.unsigned("host_id").cast("string").alias("host_id"))
 
 
 @query("r5_edges", f"WITH {V.LINKS_SQL} SELECT {_ID.format('source_url')} AS source_url_id, CAST(CAST('0x' || substr(sha256(source_url), 1, 16) AS UBIGINT) % 128 AS INT) AS source_bucket, count(*) AS n, count(target_url) AS n_targets, count(anchor) AS n_anchors FROM links GROUP BY 1, 2")
 def r5_edges(spark, sf):
     e = graphdict.edges(V.links(spark, sf))
-    return e.groupBy(F.col("source_url_id").cast("string").alias("source_url_id"), "source_bucket").agg(F.count("*").alias("n"), F.count("target_url_id").alias("n_targets"), F.count("anchor_id").alias("n_anchors"))
+    counted = e.groupBy("source_url_id", "source_bucket").agg(F.count("*").alias("n"), F.count("target_url_id").alias("n_targets"), F.count("anchor_id").alias("n_anchors"))
+    return counted.withColumn("source_url_id", N.unsigned("source_url_id").cast("string"))
 
 
 @query("j2_decode", f"WITH {V.LINKS_SQL} SELECT crawl, source_url, source_host, target_url, target_host, anchor, count(*) AS n FROM links GROUP BY ALL")
@@ -433,3 +434,6 @@ def t2_views(spark, sf):
 @query("t2_stream_daily_views", _E + "SELECT website_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS pageviews FROM ev GROUP BY 1, 2")
 def t2_daily(spark, sf):
     return _streamed(spark, sf, "daily", stream.daily_trend).drop("visitors")
+
+
+from . import extra  # noqa: E402, F401  registers its queries with the decorator above
