@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import native as N
-from tidemark.operators import collections, graphdict, history, links, quality, search, seo
+from tidemark.operators import collections, graphdict, history, links, manifests, quality, samples, search, seo
 
 LINKS = "crawl string, source_url string, source_host string, target_url string, target_host string, anchor string, crawled_at timestamp_ntz"
 
@@ -63,6 +63,14 @@ def test_sites(spark):
     assert value(spark, N.external_link(F.lit("referrer.net"), F.lit("example.com")))
 
 
+def test_public_suffix_file(spark):
+    text = "// a comment\n// ===BEGIN ICANN DOMAINS===\ncom\n*.ck\n!www.ck\nkawasaki.jp\njp\n*.kawasaki.jp\n!city.kawasaki.jp\n// ===END ICANN DOMAINS===\nblogs.com\n"
+    rules = N.suffix_rules(text.split("\n"))
+    cases = {"a.blogs.com": "blogs.com", "shop.co.ck": "shop.co.ck", "co.ck": None, "www.ck": "www.ck", "x.www.ck": "www.ck", "y.city.kawasaki.jp": "city.kawasaki.jp", "z.b.kawasaki.jp": "z.b.kawasaki.jp", "b.kawasaki.jp": None, "m.n.jp": "n.jp", "x.nowhere": None}
+    for host, want in cases.items():
+        assert value(spark, N.registrable_domain(F.lit(host), **rules)) == want, host
+
+
 def test_scalars(spark):
     assert value(spark, N.repair_mojibake(F.lit("FranÃ§ais"))) == "Français"
     assert value(spark, N.repair_mojibake(F.lit("日本"))) == "日本"
@@ -76,16 +84,18 @@ def test_scalars(spark):
 def test_search_periods(spark):
     s = "query string, clicks double, impressions double, ctr double, position double"
     row = lambda q, c, i, p: (q, float(c), float(i), c / i, float(p))
-    cur = spark.createDataFrame([row("fast widgets", 4, 220, 7), row("winner query", 25, 150, 4), row("newly reported query", 2, 40, 10)], s)
-    pre = spark.createDataFrame([row("fast widgets", 20, 200, 7), row("winner query", 5, 100, 4)], s)
+    cur = spark.createDataFrame([row("oak table", 3, 310, 9), row("pine chair", 31, 260, 3), row("first seen", 1, 12, 15)], s)
+    pre = spark.createDataFrame([row("oak table", 14, 280, 8), row("pine chair", 9, 240, 5)], s)
     j = search.compared(cur, pre, "query")
-    assert search.quick_wins(j).first()["query"] == "fast widgets"
-    assert search.ctr_opportunities(j).first()["query"] == "fast widgets"
-    assert search.losers(j).first()["query"] == "fast widgets" and search.winners(j).first()["query"] == "winner query"
-    new = j.where("query = 'newly reported query'").first()
+    assert search.quick_wins(j).first()["query"] == "oak table"
+    assert search.ctr_opportunities(j).first()["query"] == "oak table"
+    assert search.losers(j).first()["query"] == "oak table" and search.winners(j).first()["query"] == "pine chair"
+    new = j.where("query = 'first seen'").first()
     assert new["previous"] is None and new["change"] is None
-    daily = spark.createDataFrame([("a", 60.0, 600.0, 0.1, 6.0), ("b", 40.0, 400.0, 0.1, 8.0)], s)
-    assert tuple(round(x, 6) for x in search.overview(daily).first()) == (100.0, 1000.0, 0.1, 6.8)
+    twice = pre.unionByName(pre.withColumn("clicks", F.col("clicks") + 1)).withColumn("_ord", F.when(F.col("clicks") == 15, 0).otherwise(1))
+    assert search.compared(cur, twice, "query").where("query = 'oak table'").first()["previous"]["clicks"] == 14
+    daily = spark.createDataFrame([("a", 30.0, 250.0, 0.12, 2.0), ("b", 15.0, 750.0, 0.02, 6.0)], s)
+    assert tuple(round(x, 6) for x in search.overview(daily).first()) == (45.0, 1000.0, 0.045, 5.0)
     assert tuple(search.overview(daily.limit(0)).first()) == (0.0, 0.0, 0.0, 0.0)
     assert search.periods("2026-08-10", 3) == ("2026-08-02", "2026-08-08", "2026-07-26", "2026-08-01")
 
@@ -99,11 +109,11 @@ def test_audit_score(spark):
 
 
 def test_robots(spark):
-    lines = ["User-agent: *", "Disallow: /admin", "Disallow: /private/", "Allow: /admin/public", "User-agent: other", "Disallow: /"]
+    lines = ["Disallow: /early", "User-agent: *", "Disallow: /cart", "Allow: /cart/help", "User-agent: fetcher", "Disallow: /"]
     rules = seo.robots_rules(spark.createDataFrame([("s", i, x) for i, x in enumerate(lines)], "site string, line_no int, line string"))
     sets = rules.groupBy("site").agg(F.collect_list(F.when(F.col("kind") == "allow", F.col("prefix"))).alias("a"), F.collect_list(F.when(F.col("kind") == "disallow", F.col("prefix"))).alias("d"))
-    got = {p: sets.select(seo.robots_allowed(F.lit(p), F.col("a"), F.col("d"))).first()[0] for p in ("/admin/settings", "/admin/public", "/blog")}
-    assert got == {"/admin/settings": False, "/admin/public": True, "/blog": True}
+    got = {p: sets.select(seo.robots_allowed(F.lit(p), F.col("a"), F.col("d"))).first()[0] for p in ("/cart/7", "/cart/help/x", "/news", "/early")}
+    assert got == {"/cart/7": False, "/cart/help/x": True, "/news": True, "/early": False}
 
 
 def test_lifecycle_rounds(spark):
@@ -135,6 +145,58 @@ def test_manifests(spark):
     assert quality.self_hash(m) == quality.self_hash({"a": 1})
 
 
+def test_lists_and_datasets(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    (tmp_path / "list.gz").write_bytes(gzip.compress("b/2\n\n a/1 \nc/3\n".encode()))
+    got = manifests.input_list(spark, str(tmp_path / "list.gz"), ("given",), most=3).orderBy("idx").collect()
+    assert [(r.idx, r.path) for r in got] == [(0, "given"), (1, "b/2"), (2, "a/1")]
+    root = str(tmp_path / "set")
+    spark.range(0, 1000, 1, 3).withColumn("t", F.lit("x")).write.parquet(root)
+    one = manifests.dataset_summary(spark, root).first()
+    names = sorted(p.name for p in (tmp_path / "set").glob("*.parquet"))
+    tree = b"".join(n.encode() + b"\0" + hashlib.sha256((tmp_path / "set" / n).read_bytes()).hexdigest().encode() + b"\n" for n in names)
+    assert (one.files, one["rows"], one.row_groups, one.codecs) == (3, 1000, 3, ["SNAPPY"]) and one.sha256 == hashlib.sha256(tree).hexdigest()
+    assert {e.column for e in one.encodings} == {"id", "t"} and one.bytes == sum((tmp_path / "set" / n).stat().st_size for n in names)
+    assert manifests.file_count(spark, root, 3) == 3
+    with pytest.raises(ValueError):
+        manifests.file_count(spark, root, 4)
+
+
+def test_host_rollup_is_published_once(spark, sample, tmp_path):
+    detail = links.details(sample)
+    where = str(tmp_path / "out" / "target")
+    m = links.host_rollup(detail, " Target.example ", str(tmp_path / "stage1"), where, "run-1", k=5)
+    assert m["summary"] == {"observed_link_row_count": 3, "unique_referring_host_count": 2, "unique_target_page_count": 2, "nonempty_anchor_row_count": 3}
+    assert quality.self_hash(m) == m["manifest_sha256"]
+    sizes = {d: spark.read.parquet(f"{where}/dataset={d}").count() for d in ("domain-summary", "referring-hosts", "top-anchors", "top-linked-pages", "manifest")}
+    assert sizes == {"domain-summary": 1, "referring-hosts": 2, "top-anchors": 2, "top-linked-pages": 2, "manifest": 1}
+    with pytest.raises(FileExistsError):
+        links.host_rollup(detail, "target.example", str(tmp_path / "stage2"), where, "run-2")
+    with pytest.raises(LookupError):
+        links.host_rollup(detail, "absent.example", str(tmp_path / "stage3"), str(tmp_path / "none"), "run-3")
+
+
+def test_optimized_graph_checks_its_counts(spark, sample, tmp_path):
+    pages = spark.createDataFrame([("CC-TEST", "https://b.example/", "b.example", None, None, "200", "x", "T", None)], "crawl string, source_url string, source_host string, canonical string, crawled_at timestamp_ntz, status string, content_type string, title string, description string")
+    rows = graphdict.optimized(pages, sample, "CC-TEST", str(tmp_path / "g"), 8)
+    assert rows == {"urls": 7, "hosts": 5, "anchors": 2, "crawls": 1, "edges": 4, "pages_optimized": 1}
+    with pytest.raises(ValueError, match="crawl"):
+        graphdict.optimized(pages, sample, "CC-OTHER", str(tmp_path / "h"))
+
+
+def test_samples_round_trip(spark, tmp_path):
+    row = ("c", "https://a.test/x/y", "a.test", "2020-01-01", "200", "t", "T", None, None, [("../z", "up"), ("#f", None), ("?q", ""), ("//b.test/w", "w"), ("mailto:x@y", "m")])
+    compact = spark.createDataFrame([row], samples.COMPACT)
+    samples.write_lines(compact, str(tmp_path / "lines"))
+    with open(tmp_path / "lines" / "bad.json", "w") as f:
+        f.write("{no json\n")
+    back = samples.read_lines(spark, str(tmp_path / "lines"))
+    assert back.count() == 1
+    assert [r.target_url for r in samples.links(back).collect()] == ["https://a.test/z", "https://a.test/x/y#f", "https://a.test/x/y?q", "https://b.test/w", "mailto:x@y"]
+
+
 def test_texts_and_predicates(spark):
     domains = {" Example.com ": "example.com", "https://www.Shop.example.co.uk/a?b": "www.shop.example.co.uk", "https://u@a.com": None, "a.com:443": None, "localhost": None, "ftp://a.com": None, "a b.com": None, "-a.com": None, "x" * 64 + ".com": None}
     for text, want in domains.items():

@@ -34,12 +34,21 @@ def same(a, b):
 def test_windows(spark, folder, tmp_path):
     batch = spark.read.parquet(folder)
     stream = lambda: S.event_files(spark, folder, KINDS, files=1)
-    same(run(spark, S.daily_trend(stream()), tmp_path, "trend"), S.daily_trend(batch))
+    exact = batch.groupBy("website_id", F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(F.count("*").alias("pageviews"), F.countDistinct("visitor").alias("visitors"))
+    same(S.summed(run(spark, S.daily_trend(stream(), parts=3), tmp_path, "trend")), exact)
     same(run(spark, S.page_views(stream(), "1 hour", "30 minutes"), tmp_path, "sliding"), S.page_views(batch, "1 hour", "30 minutes"))
     got = run(spark, S.visits(stream()), tmp_path, "visits")
     assert got.agg(F.sum("pageviews")).first()[0] == 300
 
 
+def test_changed_rows_replace_those_of_their_key(spark, folder, tmp_path):
+    stream = S.page_views(S.event_files(spark, folder, KINDS, files=1), "1 day")
+    q = S.write_latest(stream, str(tmp_path / "t"), str(tmp_path / "c"), "start", "page")
+    q.awaitTermination(120)
+    assert q.exception() is None and len(q.recentProgress) >= 3
+    same(S.read_latest(spark, str(tmp_path / "t")), S.page_views(spark.read.parquet(folder), "1 day"))
+
+
 def test_first_seen_and_sink(spark, folder, tmp_path):
     out = str(tmp_path / "sink")
     q = S.write(S.first_seen(S.event_files(spark, folder, KINDS), "visitor", "ts"), out, str(tmp_path / "ck"), "website_id")

@@ -90,15 +90,40 @@ def apex_domain(host) -> Column:
     return F.when(F.size(parts) <= 2, c(host)).otherwise(F.array_join(F.slice(parts, -2, 2), "."))
 
 
-def registrable_domain(host, suffixes=PUBLIC_SUFFIXES) -> Column:
-    """One label and the longest public suffix; null for addresses, bare suffixes and unknown suffixes."""
+def suffix_rules(lines: list[str]) -> dict[str, tuple[str, ...]]:
+    """Rules of a public suffix file for `registrable_domain`: its plain names, the parents of its wildcards, and its exceptions.
+
+    Only the part for registries counts, where the file marks one; comments and blank lines are left out.
+    """
+    begin = next((i for i, x in enumerate(lines) if "===BEGIN ICANN" in x), 0)
+    end = next((i for i, x in enumerate(lines) if "===END ICANN" in x), len(lines))
+    rules = [x.split()[0].lower() for x in lines[begin:end] if x.strip() and not x.lstrip().startswith("//")]
+    return {
+        "suffixes": tuple(r for r in rules if r[0] not in "*!"),
+        "wild": tuple(r[2:] for r in rules if r.startswith("*.")),
+        "exceptions": tuple(r[1:] for r in rules if r.startswith("!")),
+    }
+
+
+def registrable_domain(host, suffixes=PUBLIC_SUFFIXES, wild=(), exceptions=()) -> Column:
+    """One label and the longest public suffix; null for addresses, bare suffixes and unknown suffixes.
+
+    A parent in `wild` makes every name right below it a suffix, except those in `exceptions`.
+    """
     h = comparable_host(host)
     n = F.size(F.split(h, r"\."))
-    tail = lambda k: F.substring_index(h, ".", k)
-    found = F.lit(None).cast("string")
-    for k in sorted({s.count(".") + 1 for s in suffixes}):
-        known = [s for s in suffixes if s.count(".") + 1 == k]
-        found = F.when((n > k) & tail(-k).isin(known), tail(-(k + 1))).otherwise(F.when((n == k) & tail(-k).isin(known), F.lit(None).cast("string")).otherwise(found))
+    tail = lambda k: F.substring_index(h, ".", -k)
+    of = lambda names, k: [x for x in names if x.count(".") + 1 == k]
+    most = max(x.count(".") + 1 for x in (*suffixes, *(f"*.{w}" for w in wild), *exceptions))
+    size = F.coalesce(*[F.when((n >= k) & tail(k).isin(of(exceptions, k)), F.lit(k - 1)) for k in range(1, most + 1) if of(exceptions, k)], F.lit(None).cast("int"))
+    for k in range(most, 0, -1):
+        known = F.lit(False)
+        if of(suffixes, k):
+            known = known | tail(k).isin(of(suffixes, k))
+        if of(wild, k - 1):
+            known = known | tail(k - 1).isin(of(wild, k - 1))
+        size = F.coalesce(size, F.when((n >= k) & known, F.lit(k)))
+    found = F.coalesce(*[F.when((size == k) & (n > k), tail(k + 1)) for k in range(1, most + 1)])
     return F.when(h.rlike(r"^[0-9.]+$|:"), F.lit(None).cast("string")).otherwise(found)
 
 

@@ -94,6 +94,11 @@ def without_children(children: DataFrame, deleted: DataFrame, column: str) -> Da
     return children.join(deleted.select(F.col("id").alias(column)), column, "left_anti")
 
 
+def of_parent(rows: DataFrame, parents: DataFrame, column: str, public_id: str) -> DataFrame:
+    """Rows that point to the parent with a public id."""
+    return rows.join(parents.where(F.col("public_id") == public_id).select(F.col("id").alias(column)), column, "left_semi")
+
+
 def owned(rows: DataFrame, resources: DataFrame, user: str) -> DataFrame:
     return rows.join(resources.where(F.col("user_id") == user).select(F.col("id").alias("website_id")), "website_id", "left_semi")
 

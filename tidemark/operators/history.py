@@ -64,16 +64,50 @@ def upsert(table: DataFrame, changes: DataFrame, key: list[str], insert_only: tu
     return j.select(*key, *[pick(c).alias(c) for c in other])
 
 
+def scan_difference(website: str, scan: str, old_issues: DataFrame, new_issues: DataFrame, old_pages: DataFrame, new_pages: DataFrame, at: str, most: int = 50) -> DataFrame:
+    """One row on a scan against the one before: new and resolved issues, new and removed pages, counted, and the first `most` of each by name.
+
+    Issues go by rule and address, pages by address; all four lists are top-k aggregates of one pass over the differences.
+    """
+    issue = lambda df: df.select(F.concat_ws(":", "rule_id", "affected_url").alias("key"))
+    kinds = differences(issue(old_issues), issue(new_issues), "key").select("key", F.when(F.col("change") == "new", "new_issues").otherwise("resolved_issues").alias("kind"))
+    pages = differences(old_pages.select(F.col("url").alias("key")), new_pages.select(F.col("url").alias("key")), "key")
+    kinds = kinds.unionByName(pages.select("key", F.when(F.col("change") == "new", "new_pages").otherwise("removed_pages").alias("kind")))
+    ranked = kinds.withColumn("_n", F.row_number().over(Window.partitionBy("kind").orderBy("key"))).where(F.col("_n") <= most)
+    names = ("new_issues", "resolved_issues", "new_pages", "removed_pages")
+    counts = kinds.agg(*[F.count_if(F.col("kind") == n).alias(f"{n}_count") for n in names]).withColumn("k", F.lit(1))
+    firsts = ranked.agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == n, F.col("key")))).alias(n) for n in names]).withColumn("k", F.lit(1))
+    out = counts.join(F.broadcast(firsts), "k").drop("k")
+    return out.select(F.lit(website).alias("website_id"), F.lit(scan).alias("scan_id"), *out.columns, F.lit(at).cast("timestamp").alias("created_at"))
+
+
+def written(table: DataFrame, changes: DataFrame, key: list[str]) -> DataFrame:
+    """The table after inserts, replacements and deletes: `changes` has the table's columns and `op` (insert, replace or delete).
+
+    An insert of a key that is there is left out, as is a replacement of one that is not.
+    """
+    j = table.withColumn("_had", F.lit(True)).join(changes.select(*key, "op", F.struct(*[F.col(c) for c in table.columns]).alias("_new")), key, "full_outer")
+    had, op = F.coalesce("_had", F.lit(False)), F.coalesce("op", F.lit("keep"))
+    stays = F.when(had, op != "delete").otherwise(op == "insert")
+    pick = lambda c: F.when(had & (op != "replace"), F.col(c)).otherwise(F.col("_new")[c]) if c not in key else F.col(c)
+    return j.where(stays).select(*[pick(c).alias(c) for c in table.columns])
+
+
 def reachable(links: DataFrame, start: list[str], depth: int = 5, pages: int = 25) -> DataFrame:
-    """(url, depth) by breadth-first search; each level is a join and the number of pages bounds the driver's loop, not the data."""
+    """(url, depth) by breadth-first search; each level is one join and `pages` bounds both the frontier and what is found.
+
+    A level has at most a few times `pages` rows, which become literals of the next
+    plan: no cache is held and no lineage grows with the depth.
+    """
     spark = links.sparkSession
-    seen = spark.range(1).select(F.explode(F.array(*map(F.lit, start))).alias("url")).distinct().orderBy("url").limit(pages).withColumn("depth", F.lit(0))
-    frontier = seen
+    rows = lambda found: spark.createDataFrame(found, "url string, depth int")
+    seen = [(u, 0) for u in sorted(set(start))[:pages]]
+    frontier = [u for u, _ in seen]
     for level in range(1, depth + 1):
-        step = links.join(frontier.select(F.col("url").alias("source_url")), "source_url", "left_semi").select(F.col("target_url").alias("url")).where("url is not null").distinct()
-        frontier = step.join(seen.select("url"), "url", "left_anti").orderBy("url").limit(2 * pages).withColumn("depth", F.lit(level))
-        frontier = frontier.cache()
-        if frontier.isEmpty():
+        known = rows(seen).select("url")
+        step = links.join(F.broadcast(rows([(u, 0) for u in frontier]).select(F.col("url").alias("source_url"))), "source_url", "left_semi").select(F.col("target_url").alias("url")).where("url is not null").distinct()
+        frontier = [r.url for r in step.join(F.broadcast(known), "url", "left_anti").orderBy("url").limit(2 * pages).collect()]
+        if not frontier:
             break
-        seen = seen.unionByName(frontier).orderBy("depth", "url").limit(pages)
-    return seen
+        seen = sorted(seen + [(u, level) for u in frontier], key=lambda x: (x[1], x[0]))[:pages]
+    return rows(seen)

@@ -389,6 +389,37 @@ def r1_site(spark, sf):
     return seo.site_issues(s).select("scan_id", "rule_id")
 
 
+_DIFF = f"WITH {V.SCANS_SQL}, a AS (SELECT DISTINCT rule_id || ':' || affected_url AS k FROM scans WHERE website_id = 'w1' AND scan_no = 1), b AS (SELECT DISTINCT rule_id || ':' || affected_url AS k FROM scans WHERE website_id = 'w1' AND scan_no = 2), c AS (SELECT DISTINCT affected_url AS k FROM scans WHERE website_id = 'w1' AND scan_no = 1), d AS (SELECT DISTINCT affected_url AS k FROM scans WHERE website_id = 'w1' AND scan_no = 2), n AS (SELECT * FROM b EXCEPT SELECT * FROM a), r AS (SELECT * FROM a EXCEPT SELECT * FROM b), np AS (SELECT * FROM d EXCEPT SELECT * FROM c), rp AS (SELECT * FROM c EXCEPT SELECT * FROM d)"
+
+
+@query("r12_snapshot", _DIFF + " SELECT (SELECT count(*) FROM n) AS new_issues_count, (SELECT count(*) FROM r) AS resolved_issues_count, (SELECT count(*) FROM np) AS new_pages_count, (SELECT count(*) FROM rp) AS removed_pages_count, " + ", ".join(f"(SELECT coalesce(string_agg(k, ' ' ORDER BY k), '') FROM (SELECT k FROM {t} ORDER BY k LIMIT 50)) AS {c}" for t, c in (("n", "new_issues"), ("r", "resolved_issues"), ("np", "new_pages"), ("rp", "removed_pages"))))
+def r12(spark, sf):
+    s = V.scans(spark, sf).where("website_id = 'w1'")
+    old, new = s.where("scan_no = 1"), s.where("scan_no = 2")
+    pages = lambda df: df.select(F.col("affected_url").alias("url"))
+    d = history.scan_difference("w1", "2", old, new, pages(old), pages(new), "2024-01-01")
+    names = ("new_issues", "resolved_issues", "new_pages", "removed_pages")
+    return d.select(*[f"{n}_count" for n in names], *[F.array_join(n, " ").alias(n) for n in names])
+
+
+@query("s19_written", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 1 THEN 'replaced' ELSE o_orderstatus END AS state FROM orders WHERE o_orderkey % 5 <> 0 UNION ALL SELECT -o_orderkey - 1, 'inserted' FROM orders WHERE o_orderkey % 5 = 2")
+def s19(spark, sf):
+    k = F.col("id")
+    t = V.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("state"))
+    ops = t.where(k % 5 <= 1).select("id", F.lit("replaced").alias("state"), F.when(k % 5 == 0, "delete").otherwise("replace").alias("op"))
+    new = t.where(k % 5 == 2).select((-k - 1).alias("id"), F.lit("inserted").alias("state"), F.lit("insert").alias("op"))
+    lost = t.where(k % 5 == 3).select((-k - 1).alias("id"), F.lit("x").alias("state"), F.lit("replace").alias("op"))  # nothing to replace
+    twice = t.where(k % 5 == 4).select("id", F.lit("x").alias("state"), F.lit("insert").alias("op"))  # there already
+    return history.written(t, ops.unionByName(new).unionByName(lost).unionByName(twice), ["id"])
+
+
+@query("r13_resolved", f"WITH {V.SCANS_SQL} SELECT website_id, rule_id, affected_url, CASE WHEN website_id = 'w2' AND rule_id = '1-URGENT' AND affected_url LIKE '%/7' THEN 'resolved' WHEN affected_url LIKE '%3' THEN 'resolved' ELSE 'active' END AS status FROM scans WHERE scan_no = 1 GROUP BY ALL")
+def r13(spark, sf):
+    from .registry import _history
+
+    return admin.lifecycle_resolved(_history(spark, sf), {"website_id": "w2", "rule_id": "1-URGENT", "affected_url": "https://c.example/7"}, "2024-01-01").select(*history.KEY, "status")
+
+
 # lists of inputs and their shards
 
 _INPUTS = "SELECT s_suppkey AS idx, 'crawl-data/' || s_name || '.gz' AS path FROM supplier"

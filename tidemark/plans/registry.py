@@ -68,9 +68,9 @@ def f1(spark, sf):
 _PAGE_ORDER = "ORDER BY source_url, target_url NULLS LAST, anchor NULLS LAST, crawled_at"
 
 
-@query("r2_backlinks_page", f"WITH {V.LINKS_SQL} SELECT source_url, source_host, target_url, anchor, crawled_at FROM (SELECT * FROM links WHERE crawl = '{V.CRAWL}' AND target_host = 'www.s7.example.com' {_PAGE_ORDER} LIMIT 10) WHERE source_host NOT LIKE '%.example.com'")
+@query("r2_backlinks_page", f"WITH {V.LINKS_SQL} SELECT source_url, source_host, target_url, anchor, crawled_at FROM (SELECT * FROM links WHERE crawl = '{V.CRAWL}' AND {_H} {_PAGE_ORDER} LIMIT 10) WHERE source_host NOT LIKE '%.example.org'")
 def r2(spark, sf):
-    return links.lookup(V.links(spark, sf), V.CRAWL, "www.s7.example.com")
+    return links.lookup(links.details(V.links(spark, sf)), V.CRAWL, V.HOST)
 
 
 @query("r2_backlinks_external_first", f"WITH {V.LINKS_SQL} SELECT source_url, source_host, target_url, anchor, crawled_at FROM links WHERE crawl = '{V.CRAWL}' AND {_H} {_PAGE_ORDER} LIMIT 10 OFFSET 10")
@@ -94,17 +94,19 @@ def r5_edges(spark, sf):
     return counted.withColumn("source_url_id", N.unsigned("source_url_id").cast("string"))
 
 
-@query("j2_decode", f"WITH {V.LINKS_SQL} SELECT crawl, source_url, source_host, target_url, target_host, anchor, count(*) AS n FROM links GROUP BY ALL")
+@query("j2_decode", f"WITH {V.LINKS_SQL} SELECT crawl, source_url, source_host, target_url, target_host, anchor, min(crawled_at) AS first_at, max(crawled_at) AS last_at, count(*) AS n FROM links GROUP BY ALL")
 def j2(spark, sf):
     ls = V.links(spark, sf)
     back = graphdict.decode(graphdict.edges(ls), graphdict.dictionaries(V.link_pages(spark, sf), ls))
-    return back.groupBy("crawl", "source_url", "source_host", "target_url", "target_host", "anchor").agg(F.count("*").alias("n"))
+    return back.groupBy("crawl", "source_url", "source_host", "target_url", "target_host", "anchor").agg(F.min("crawled_at").alias("first_at"), F.max("crawled_at").alias("last_at"), F.count("*").alias("n"))
 
 
-@query("a7_collisions", f"WITH {V.LINKS_SQL} SELECT 0::BIGINT AS url_collisions, (SELECT count(*) FROM (SELECT target_url FROM links WHERE target_url IS NOT NULL GROUP BY 1 HAVING count(DISTINCT target_host) > 1)) AS host_conflicts")
+@query("a7_collisions", f"WITH {V.LINKS_SQL} SELECT 0::BIGINT AS url_collisions, (SELECT count(*) FROM (SELECT substr(sha256(n_name), 1, 1) AS k FROM nation GROUP BY 1 HAVING count(DISTINCT n_name) > 1)) AS short_collisions, (SELECT count(*) FROM (SELECT target_url FROM links WHERE target_url IS NOT NULL GROUP BY 1 HAVING count(DISTINCT target_host) > 1)) AS host_conflicts")
 def a7(spark, sf):
     ls, pg = V.links(spark, sf), V.link_pages(spark, sf)
     bad = graphdict.collisions(graphdict.dictionaries(pg, ls)["urls"], "url_id", "url").agg(F.count("*").alias("url_collisions")).withColumn("k", F.lit(1))
+    short = V.table(spark, sf, "nation").select(F.substring(F.sha2("n_name", 256), 1, 1).alias("id"), "n_name")
+    bad = bad.join(graphdict.collisions(short, "id", "n_name").agg(F.count("*").alias("short_collisions")).withColumn("k", F.lit(1)), "k")
     return bad.join(graphdict.host_conflicts(pg, ls).agg(F.count("*").alias("host_conflicts")).withColumn("k", F.lit(1)), "k").drop("k")
 
 
@@ -309,8 +311,8 @@ def j8(spark, sf):
 
 @query("j4_by_parent", "SELECT count(*) AS n, sum(o_orderkey) AS s FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
 def j4(spark, sf):
-    parents = V.table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("o_custkey"))
-    return V.table(spark, sf, "orders").join(parents, "o_custkey", "left_semi").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
+    parents = V.table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("public_id"))
+    return collections.of_parent(V.table(spark, sf, "orders"), parents, "o_custkey", "BUILDING").agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("s"))
 
 
 @query("w8_shards", "SELECT s_suppkey AS idx, ntile(7) OVER (ORDER BY s_suppkey) - 1 AS shard_id FROM supplier")
@@ -414,26 +416,26 @@ def f27(spark, sf):
     return p.select("url", "title", "description", "noindex", F.size("h1").cast("long").alias("n_h1"))
 
 
-def _streamed(spark, sf, name, make):
+def _streamed(spark, sf, name, make, *key):
     """The result of a stream over the event table, run to its end; table and checkpoint lie in the shared folder."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp()
+    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     at = f"{top}/{name}-{uuid.uuid4().hex}"
     schema = V.table(spark, sf, "events").schema
     raw = stream.event_files(spark, sf, schema, only="events.parquet")
-    run = stream.write_latest(make(V.event_columns(raw.withColumn("ts", F.col("ts").cast("timestamp")))), f"{at}/table", f"{at}/checkpoint")
+    run = stream.write_latest(make(V.event_columns(raw.withColumn("ts", F.col("ts").cast("timestamp")))), f"{at}/table", f"{at}/checkpoint", *key)
     run.awaitTermination()
-    return spark.read.parquet(f"{at}/table")
+    return stream.read_latest(spark, f"{at}/table")
 
 
 @query("t2_stream_page_views", _E + "SELECT date_trunc('hour', ts) AS start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS \"end\", page, count(*) AS views FROM ev GROUP BY 1, 2, 3")
 def t2_views(spark, sf):
-    views = _streamed(spark, sf, "page_views", stream.page_views)
+    views = _streamed(spark, sf, "page_views", stream.page_views, "start", "page")
     return views.select(*[F.col(c).cast("timestamp_ntz").alias(c) for c in ("start", "end")], "page", "views")
 
 
-@query("t2_stream_daily_views", _E + "SELECT website_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS pageviews FROM ev GROUP BY 1, 2")
+@query("t2_stream_daily_views", _E + "SELECT website_id, strftime(ts, '%Y-%m-%d') AS date, count(*) AS pageviews, count(DISTINCT visitor) AS visitors FROM ev GROUP BY 1, 2")
 def t2_daily(spark, sf):
-    return _streamed(spark, sf, "daily", stream.daily_trend).drop("visitors")
+    return stream.summed(_streamed(spark, sf, "daily", stream.daily_trend, "website_id", "date", "part"))
 
 
 from . import extra  # noqa: E402, F401  registers its queries with the decorator above

@@ -1,8 +1,8 @@
 """Streaming forms of the event queries.
 
 Every aggregate is windowed under a watermark, so state is dropped as event time
-advances and never grows with the stream.  Exact distinct counts come from
-de-duplicated streams or HyperLogLog sketches, which are bounded per key.
+advances and never grows with the stream.  Distinct counts are exact: a key's
+visitors are dealt to parts, so no state row holds all of them.
 """
 
 from __future__ import annotations
@@ -22,15 +22,25 @@ def event_files(spark: SparkSession, path: str, schema, files: int = 100, only:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("pathGlobFilter", only).parquet(path)
 
 
-def daily_trend(events: DataFrame, late: str = LATE) -> DataFrame:
-    """Page views and (sketched) visitors by website and UTC day."""
+def daily_trend(events: DataFrame, late: str = LATE, parts: int = 16) -> DataFrame:
+    """(website_id, date, part, pageviews, visitors) by UTC day; `summed` adds the parts up.
+
+    Visitors are counted exactly.  A visitor belongs to one part of a website's day,
+    so no state row holds more than a share of them, and the parts add up.
+    """
+    part = F.pmod(F.xxhash64("visitor"), F.lit(parts)).cast("int")
     return (
-        events.withWatermark("ts", late).groupBy("website_id", F.window("ts", "1 day").alias("w"))
-        .agg(F.count("*").alias("pageviews"), F.approx_count_distinct("visitor", 0.02).alias("visitors"))
-        .select("website_id", F.date_format("w.start", "yyyy-MM-dd").alias("date"), "pageviews", "visitors")
+        events.withWatermark("ts", late).groupBy("website_id", F.window("ts", "1 day").alias("w"), part.alias("part"))
+        .agg(F.count("*").alias("pageviews"), F.size(F.collect_set("visitor")).cast("long").alias("visitors"))
+        .select("website_id", F.date_format("w.start", "yyyy-MM-dd").alias("date"), "part", "pageviews", "visitors")
     )
 
 
+def summed(trend: DataFrame) -> DataFrame:
+    """Page views and visitors by website and day."""
+    return trend.groupBy("website_id", "date").agg(F.sum("pageviews").alias("pageviews"), F.sum("visitors").alias("visitors"))
+
+
 def page_views(events: DataFrame, width: str = "1 hour", slide: str | None = None, late: str = LATE) -> DataFrame:
     """Views by page in tumbling or sliding windows."""
     w = F.window("ts", width, slide) if slide else F.window("ts", width)
@@ -105,10 +115,48 @@ def lifecycle(scans: DataFrame) -> DataFrame:
     return slim.groupBy("website_id", "rule_id", "affected_url").applyInPandasWithState(step, kinds, "status string", "append", GroupStateTimeout.NoTimeout)
 
 
-def write_latest(stream: DataFrame, path: str, checkpoint: str):
-    """Start a query whose whole current result replaces the table at `path` after each batch; a repeated batch writes the same."""
-    put = lambda batch, _: batch.write.mode("overwrite").parquet(path)
-    return stream.writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def write_latest(stream: DataFrame, path: str, checkpoint: str, *key: str):
+    """Start a query whose changed rows replace those of the same key; `read_latest` reads the table.
+
+    The query runs in update mode, so state that the watermark passes is dropped.
+    Each batch writes the next version of the table from the one before, so a
+    repeated batch writes the same, and a batch that breaks off is not read.
+    """
+
+    def put(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        before = [v for v in _versions(spark, path) if v < n]
+        out = batch
+        if before:
+            old = spark.read.parquet(f"{path}/v={before[-1]}")
+            changed = batch.select(F.struct(*key).alias("_key"))
+            out = old.join(changed, F.struct(*key).eqNullSafe(F.col("_key")), "left_anti").unionByName(batch)
+        out.write.mode("overwrite").parquet(f"{path}/v={n}")
+        fs, root = _folder(spark, path)
+        for v in before[:-1]:
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root, f"v={v}"), True)
+
+    return stream.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _folder(spark: SparkSession, path: str):
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), root
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the versions that were written to their end, ascending."""
+    fs, root = _folder(spark, path)
+    if not fs.exists(root):
+        return []
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("v=")]
+    return sorted(int(f.getName()[2:]) for f in found if fs.exists(done(f, "_SUCCESS")))
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last whole version of a table."""
+    return spark.read.parquet(f"{path}/v={_versions(spark, path)[-1]}")
 
 
 def write(stream: DataFrame, path: str, checkpoint: str, *by: str, mode: str = "append"):
