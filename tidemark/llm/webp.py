@@ -14,6 +14,7 @@ import hashlib
 import heapq
 import zlib
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 UNIT = 576
 MOST_ROWS = 16384
 #: Bytes of the shortest repeat that becomes a back-reference, and the longest that one code can copy.
-LEAST_MATCH = 6
+LEAST_MATCH = 8
 MOST_MATCH = 4096
 #: Longest prefix code that the encoder makes.
 LONGEST_CODE = 12
-#: Bits that the decoder holds at a time.
-WINDOW = 256
+#: Bytes of a stream that the decoder looks codes up in at a time.
+WINDOW = 1 << 16
 
 #: Fixed values of the format.
 CODE_LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
@@ -81,6 +82,15 @@ class Code:
             raise ValueError("a prefix code is not complete")
         self.table = table
 
+    @classmethod
+    def simple(cls, symbols: list[int]) -> Code:
+        """A code of one symbol, or of two in ascending order."""
+        self = cls.__new__(cls)
+        self.only = symbols[0] if len(symbols) == 1 else None
+        self.longest = len(symbols) - 1
+        self.table = [symbols[0] << 4] if len(symbols) == 1 else [s << 4 | 1 for s in symbols]
+        return self
+
     def read(self, bits: Bits) -> int:
         if self.only is not None:
             return self.only
@@ -93,33 +103,47 @@ class Code:
 
 
 def _read_code(bits: Bits, alphabet: int) -> Code:
-    lengths = [0] * alphabet
     if bits.read(1):
         count = bits.read(1) + 1
-        symbol = bits.read(8 if bits.read(1) else 1)
-        lengths[symbol] = 1
+        symbols = [bits.read(8 if bits.read(1) else 1)]
         if count == 2:
-            lengths[bits.read(8)] = 1
-        return Code(lengths)
+            symbols.append(bits.read(8))
+        if max(symbols) >= alphabet:
+            raise ValueError("a symbol outside its alphabet")
+        return Code.simple(sorted(set(symbols)))
+    lengths = [0] * alphabet
     first = [0] * 19
     for i in range(4 + bits.read(4)):
         first[CODE_LENGTH_ORDER[i]] = bits.read(3)
     code = Code(first)
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
-    at, before = 0, 8
-    while at < alphabet and left:
+    done, before, start = 0, 8, bits.at
+    held = int.from_bytes(bits.data[start >> 3 : (start >> 3) + 2 * alphabet + 8], "little") >> (start & 7)
+    table, low, used = code.table, (1 << code.longest) - 1, 0
+    while done < alphabet and left:
         left -= 1
-        symbol = code.read(bits)
+        entry = table[held & low]
+        n = 0 if code.only is not None else entry & 15
+        held >>= n
+        used += n
+        symbol = entry >> 4
         if symbol < 16:
-            lengths[at] = symbol
-            at += 1
+            lengths[done] = symbol
+            done += 1
             before = symbol or before
             continue
-        value, times = (before, 3 + bits.read(2)) if symbol == 16 else (0, 3 + bits.read(3)) if symbol == 17 else (0, 11 + bits.read(7))
-        if at + times > alphabet:
+        extra = (2, 3, 7)[symbol - 16]
+        times = (3, 3, 11)[symbol - 16] + (held & (1 << extra) - 1)
+        held >>= extra
+        used += extra
+        if done + times > alphabet:
             raise ValueError("too many code lengths")
-        lengths[at : at + times] = [value] * times
-        at += times
+        if symbol == 16:
+            lengths[done : done + times] = [before] * times
+        done += times
+    bits.at = start + used
+    if bits.at > 8 * len(bits.data):
+        raise ValueError("the stream ends early")
     return Code(lengths)
 
 
@@ -145,7 +169,8 @@ def _read_pixels(bits: Bits, width: int, height: int, top: bool) -> np.ndarray:
     total = width * height
     if groups == 1 and not cache_bits and all(c.only is not None for c in codes[0][1:4]):
         r, b, a = (c.only for c in codes[0][1:4])
-        return _read_one_channel(bits, codes[0][0], codes[0][4], width, total).astype(np.uint32) << np.uint32(8) | np.uint32(a << 24 | r << 16 | b)
+        read = _read_one_channel if top else _one_by_one
+        return read(bits, codes[0][0], codes[0][4], width, total).astype(np.uint32) << np.uint32(8) | np.uint32(a << 24 | r << 16 | b)
     out: list[int] = []
     cache = [0] * (1 << cache_bits)
     known = 0  # pixels that are in the cache so far; it is filled when a code of it comes
@@ -194,11 +219,10 @@ def _copy(out, back: int, n: int, total: int) -> None:
     out += piece[:n]
 
 
-def _several(code: Code) -> list[int]:
-    """The code's table with as many literals in an entry as its bits hold, three at most: literals << 8 | their number << 4 | bits."""
-    one = np.array(code.table, np.int64)
-    size, literal = one & 15, one < 4096
-    total, count, out = size.copy(), np.ones(len(one), np.int64), one >> 4
+def _several(code: Code) -> np.ndarray:
+    """The code's table with as many literals in an entry as its bits hold, three at most: literals << 8 | their number << 4 | bits; 0 for other symbols."""
+    one = np.array(code.table, np.int32)
+    literal, total, count, out = one < 4096, one & 15, np.ones(len(one), np.int32), one >> 4
     place = np.arange(len(one))
     for more in (1, 2):
         after = one[place >> total]
@@ -206,106 +230,132 @@ def _several(code: Code) -> list[int]:
         out = np.where(ok, out | after >> 4 << 8 * more, out)
         count = count + ok
         total = np.where(ok, total + (after & 15), total)
-    return np.where(literal, out << 8 | count << 4 | total, -1).tolist()
+    return np.where(literal, out << 8 | count << 4 | total, 0).astype(np.int32)
+
+
+def _ahead(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where a step leads from every bit, and the length of two such steps in a row; 0 where one of them is none or leads out."""
+    to = np.arange(len(step)) + step
+    inside = to < len(step)
+    to[~inside] = 0
+    then = step[to]
+    return to, np.where(inside & (step > 0) & (then > 0), step + then, 0)
+
+
+def _one_by_one(bits: Bits, green: Code, far: Code, width: int, total: int) -> np.ndarray:
+    """Green values of an image that more of the stream follows."""
+    out = bytearray()
+    while len(out) < total:
+        symbol = green.read(bits)
+        if symbol < 256:
+            out.append(symbol)
+        elif symbol < 280:
+            n = _length(symbol - 256, bits)
+            _copy(out, _distance(_length(far.read(bits), bits), width), n, total)
+        else:
+            raise ValueError("a colour cache code without a cache")
+    return np.frombuffer(out, np.uint8)
 
 
 def _read_one_channel(bits: Bits, green: Code, far: Code, width: int, total: int) -> np.ndarray:
-    """Green values of an image whose other channels are constant, without a colour cache.
+    """Green values of the last image of a stream, whose other channels are constant and that has no colour cache.
 
-    One pass over the bits reads literals, several at a time, and references; the
-    literals are then laid out in one step and the references copied in their order.
+    What the code reads at every bit of a block is looked up at once; then one pass
+    goes from symbol to symbol, notes where literals start and reads references.
+    In the end the literals are laid out and the references copied in their order.
     """
     if green.only is not None:
         if green.only > 255:
             raise ValueError("a back-reference leaves the image")
         return np.full(total, green.only, np.uint8)
     data, end = bits.data, 8 * len(bits.data)
-    at, held, have = bits.at, 0, 0
-    table, low, several = green.table, (1 << green.longest) - 1, _several(green)
+    low, several, table = (1 << green.longest) - 1, _several(green), green.table
     far_table, far_low = far.table, (1 << far.longest) - 1
-    got: list[int] = []
-    refs: list[tuple[int, int, int, int]] = []  # tokens before it, its place, length, distance
-    done = 0
-    add = got.append
-    while done < total:
-        if have < 64:  # a symbol, a length, a distance and their extra bits are 63 bits at most
-            if at > end:
-                raise ValueError("the stream ends early")
-            lo = at >> 3
-            held = int.from_bytes(data[lo : lo + WINDOW // 8], "little") >> (at & 7)
-            have = WINDOW - (at & 7)
-        entry = several[held & low]
-        if entry >= 0:
-            n = entry & 15
+    tokens: list[np.ndarray] = []
+    refs: list[tuple[int, int, int]] = []  # tokens before it, length, distance
+    before, at, shifts = 0, bits.at, np.arange(8, dtype=np.uint32)
+    while at < end:
+        lo = at >> 3
+        raw = np.frombuffer(data[lo : lo + WINDOW] + b"\0\0\0", np.uint8).astype(np.uint32)
+        word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16)
+        entry = several[(word[:, None] >> shifts).ravel() & low]
+        stop = min(8 * len(word), end - 8 * lo)
+        one = entry & 15
+        next_, two = _ahead(one)
+        four = _ahead(two)[1]
+        far_step, step = four.tolist(), one.tolist()
+        p, found, leaps = at & 7, [], []
+        add, leap = found.append, leaps.append
+        while p < stop:
+            n = far_step[p]
+            if n:
+                leap(p)
+                p += n
+                continue
+            n = step[p]
+            if n:
+                add(p)
+                p += n
+                continue
+            at = 8 * lo + p
+            held = int.from_bytes(data[at >> 3 : (at >> 3) + 10], "little") >> (at & 7)
+            code = table[held & low]
+            n = code & 15
+            prefix = (code >> 4) - 256
+            if prefix >= 24:
+                raise ValueError("a colour cache code without a cache")
             held >>= n
-            have -= n
-            at += n
-            add(entry)
-            done += entry >> 4 & 15
-            continue
-        entry = table[held & low]
-        n = entry & 15
-        prefix = (entry >> 4) - 256
-        if prefix >= 24:
-            raise ValueError("a colour cache code without a cache")
-        held >>= n
-        used = n
-        if prefix < 4:
-            size = prefix + 1
-        else:
-            extra = prefix - 2 >> 1
-            size = ((2 + (prefix & 1)) << extra) + (held & (1 << extra) - 1) + 1
-            held >>= extra
-            used += extra
-        entry = far_table[held & far_low]
-        n = entry & 15
-        held >>= n
-        used += n
-        prefix = entry >> 4
-        if prefix < 4:
-            back = prefix + 1
-        else:
-            extra = prefix - 2 >> 1
-            back = ((2 + (prefix & 1)) << extra) + (held & (1 << extra) - 1) + 1
-            held >>= extra
-            used += extra
-        have -= used
-        at += used
-        back = back - 120 if back > 120 else _distance(back, width)
-        if back > done or done + size > total:
-            raise ValueError("a back-reference leaves the image")
-        refs.append((len(got), done, size, back))
-        done += size
-    token = np.array(got, np.int64)
+            p += n
+            if prefix < 4:
+                size = prefix + 1
+            else:
+                extra = prefix - 2 >> 1
+                size = ((2 + (prefix & 1)) << extra) + (held & (1 << extra) - 1) + 1
+                held >>= extra
+                p += extra
+            code = far_table[held & far_low]
+            n = code & 15
+            held >>= n
+            p += n
+            prefix = code >> 4
+            if prefix < 4:
+                back = prefix + 1
+            else:
+                extra = prefix - 2 >> 1
+                back = ((2 + (prefix & 1)) << extra) + (held & (1 << extra) - 1) + 1
+                p += extra
+            refs.append((before + len(found) + 4 * len(leaps), size, back - 120 if back > 120 else _distance(back, width)))
+        quads = [np.array(leaps, np.int64)]
+        for _ in range(3):
+            quads.append(next_[quads[-1]])
+        tokens.append(entry[np.sort(np.concatenate([np.array(found, np.int64), *quads]))])
+        before += len(tokens[-1])
+        at = 8 * lo + p
+    token = np.concatenate(tokens) if tokens else np.zeros(0, np.int32)
     count = token >> 4 & 15
-    if done > total:  # the last entry holds literals beyond the image: they belong to what follows
-        over = done - total
-        rest = int(token[-1]) >> 8
-        n = int(count[-1]) - over
-        at += sum(green_length(green, rest >> 8 * i & 255) for i in range(n)) - (int(token[-1]) & 15)
-        count[-1] = n
-    if at > end:
+    first = np.append(0, np.cumsum(count, dtype=np.int64))
+    n, size, back = np.array(refs, np.int64).reshape(-1, 3).T
+    to = first[n] + np.cumsum(size) - size
+    inside = to < total  # spare bits after the image may look like more
+    n, size, back, to = n[inside], size[inside], back[inside], to[inside]
+    if (back > to).any() or (to + size > total).any():
+        raise ValueError("a back-reference leaves the image")
+    if int(first[-1]) + int(size.sum()) < total:
         raise ValueError("the stream ends early")
-    bits.at = at
-    out = np.empty(total, np.uint8)
-    shift = np.zeros(len(token) + 1, np.int64)
-    for before, _, size, _ in refs:
-        shift[before] += size
-    place = np.cumsum(count) - count + np.cumsum(shift)[: len(token)]
+    gap = np.bincount(n, size, minlength=len(token) + 1).astype(np.int64)
+    place = first[:-1] + np.cumsum(gap)[: len(token)]
+    flat = np.zeros(total + 2, np.uint8)
     for i in range(3):
-        some = count > i
-        out[place[some] + i] = token[some] >> 8 * i + 8 & 255
-    for _, to, size, back in refs:
-        if back >= size:
-            out[to : to + size] = out[to - back : to - back + size]
+        some = np.flatnonzero((count > i) & (place + i < total))
+        flat[place[some] + i] = token[some] >> 8 * i + 8 & 255
+    out = bytearray(flat[:total])
+    for at, length, far_ in zip(to.tolist(), size.tolist(), back.tolist(), strict=True):
+        if far_ >= length:
+            out[at : at + length] = out[at - far_ : at - far_ + length]
         else:
-            out[to : to + size] = np.resize(out[to - back : to], size)
-    return out
-
-
-def green_length(code: Code, symbol: int) -> int:
-    """Bits of one symbol of a code."""
-    return next(e & 15 for e in code.table if e >> 4 == symbol)
+            out[at : at + length] = (bytes(out[at - far_ : at]) * (length // far_ + 1))[:length]
+    bits.at = end
+    return np.frombuffer(out, np.uint8)
 
 
 def _planes(p: np.ndarray) -> np.ndarray:
@@ -445,23 +495,23 @@ def code_lengths(counts: list[int], longest: int) -> list[int]:
         for _, s in used:
             out[s] = 1
         return out
-    floor = 1
+    floor, many = 1, len(used)
     while True:
-        heap = [(max(c, floor), s, (s,)) for c, s in used]
+        heap = [(c if c > floor else floor, i) for i, (c, _) in enumerate(used)]
         heapq.heapify(heap)
-        depth = dict.fromkeys((s for _, s in used), 0)
-        while len(heap) > 1:
-            c, s, x = heapq.heappop(heap)
-            d, _, y = heap[0]
-            both = x + y
-            for t in both:
-                depth[t] += 1
-            heapq.heapreplace(heap, (c + d, s, both))
-        if max(depth.values()) <= longest:
+        parent = [0] * (2 * many - 1)
+        for node in range(many, 2 * many - 1):
+            c, i = heapq.heappop(heap)
+            d, j = heapq.heapreplace(heap, (c + heap[0][0], node))
+            parent[i] = parent[j] = node
+        depth = [0] * (2 * many - 1)
+        for node in range(2 * many - 3, -1, -1):
+            depth[node] = depth[parent[node]] + 1
+        if max(depth) <= longest:
             break
         floor *= 2
-    for s, n in depth.items():
-        out[s] = n
+    for i, (_, s) in enumerate(used):
+        out[s] = depth[i]
     return out
 
 
@@ -493,12 +543,9 @@ def _put_code(w: BitWriter, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
     if len(used) == 1:  # two codes of one bit, as a simple code holds no symbol beyond 255
         counts = [int(s in (0, used[0])) for s in range(len(counts))]
     lengths = code_lengths(counts, LONGEST_CODE)
-    tokens, at = [], 0  # (symbol of the code-length code, extra bits, their number)
-    while at < len(lengths):
-        value, end = lengths[at], at + 1
-        while end < len(lengths) and lengths[end] == value:
-            end += 1
-        run = end - at
+    tokens = []  # (symbol of the code-length code, extra bits, their number)
+    for value, same in groupby(lengths):
+        run = len(list(same))
         if value:
             tokens.append((value, 0, 0))
             run -= 1
@@ -507,7 +554,6 @@ def _put_code(w: BitWriter, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
             tokens.append((16, n - 3, 2) if value else (17, n - 3, 3) if n <= 10 else (18, n - 11, 7))
             run -= n
         tokens += [(value, 0, 0)] * run
-        at = end
     seen = [0] * 19
     for t, _, _ in tokens:
         seen[t] += 1
@@ -551,7 +597,8 @@ def _repeats(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     key = np.zeros(n, np.uint64)
     for j in range(LEAST_MATCH):
         key |= px[j : j + n].astype(np.uint64) << np.uint64(8 * j)
-    order = np.argsort(key, kind="stable")
+    # a stable sort of sixteen bits is by radix; places whose hashes meet by chance are told apart by their keys
+    order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
     back = np.zeros(n, np.int64)
     back[order[same + 1]] = order[same + 1] - order[same]
@@ -588,14 +635,18 @@ def _image(w: BitWriter, px: np.ndarray, width: int) -> bytes:
     for value in (0, 0, 255):
         _put_one(w, value)
     code, code_bits_ = _put_code(w, np.bincount(dist, minlength=40).tolist())
-    place = np.concatenate((literal, *[at] * 4))
-    rank = np.concatenate((np.zeros(len(literal), np.int64), *[np.full(len(at), i) for i in range(4)]))
-    value = np.concatenate((green[px[literal]], green[length + 256], length_extra, code[dist], dist_extra))
-    bits = np.concatenate((green_bits[px[literal]], green_bits[length + 256], length_bits, code_bits_[dist], dist_bits))
-    order = np.argsort(place * 4 + rank, kind="stable")
-    value, bits = value[order], bits[order]
-    start = w.n + np.cumsum(bits) - bits
-    total = w.n + int(bits.sum())
+    fields = [(green[length + 256], green_bits[length + 256]), (length_extra, length_bits), (code[dist], code_bits_[dist]), (dist_extra, dist_bits)]
+    taken = np.zeros(len(px), np.int64)
+    taken[literal] = green_bits[px[literal]]
+    taken[at] = sum(n for _, n in fields)
+    ends = w.n + np.cumsum(taken)
+    total = int(ends[-1])
+    start, value, here = [(ends - taken)[literal]], [green[px[literal]]], (ends - taken)[at]
+    for v, n in fields:
+        start.append(here)
+        value.append(v)
+        here = here + n
+    start, value = np.concatenate(start), np.concatenate(value)
     out = np.zeros((total + 7 >> 3) + 4)
     spread = value << (start & 7)
     for j in range(4):
