@@ -114,6 +114,24 @@ def test_jaccard_long_sets_and_buckets_of_several_blocks(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got.collect()} == brute_components(texts, 4, 85, 100)
 
 
+@pytest.mark.parametrize("local", [0, 1_000_000])
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch, local):
+    from tidemark.llm import components as c
+    from tidemark.llm.workspace import Workspace
+
+    monkeypatch.setattr(c, "LOCAL_EDGES", local)
+    rnd = random.Random(6)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 80)] + [(rnd.randrange(1000, 1200), rnd.randrange(1000, 1200)) for _ in range(90)] + [(7, 7), (-5, 9), (9, -5)]
+    root = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = c.components(spark.createDataFrame(edges, "a long, b long"), Workspace(spark, "t"), "x").collect()
+    assert {r.node: r.root for r in got} == root and len(got) == len(root)
+    assert c.components(spark.createDataFrame([], "a long, b long"), Workspace(spark, "t"), "y").count() == 0
+
+
 def test_jaccard_empty_table(spark):
     assert jaccard_join.jaccard_components(frame(spark, ["a"]).limit(0)).count() == 0
 

@@ -360,6 +360,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         raise RuntimeError("keys of different sets collided under every seed")
     slim_sets = work.keep(table.select("doc_id", "row", "n_shingles", "key"), "documents")
     work.drop(*(f"sets-{i}" for i in range(seed + 1)))
+    work.free()
     live = None
     for at in range(SLICES):
         sigs = work.keep(slim.select("text").mapInArrow(_signed(width, num, den, seed, at), "sig long, member long"), f"sigs-{at}")
@@ -367,10 +368,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         # pre-aggregated in the map tasks, so a signature that very many sets share comes as one row of each
         shared = sigs.groupBy("sig").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.min(F.when(F.col("member") % 2 != 0, key)).alias("leader"))
         shared = work.keep(shared.where("lo <> hi and leader is not null").select("sig", "leader"), f"shared-{at}")
-        work.drop()
+        work.free()
         # both sides are tables, so a signature of very many sets is split by adaptive execution
         now = work.keep(sigs.join(shared, "sig").distinct(), f"live-{at}")
         work.drop(f"sigs-{at}", f"shared-{at}")
+        work.free()
         live = now if live is None else live.unionByName(now)
 
     def verify(pairs: DataFrame, name: str) -> DataFrame:
@@ -390,6 +392,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
     links = work.keep(verify(first, "0"), "links-0")
     freed("0")
     roots = work.keep(components(links, work, "stars"), "roots-0")
+    work.drop("stars")
 
     def grouped(rows: DataFrame, roots: DataFrame) -> DataFrame:
         """Members of buckets that span components, in blocks, sorted by group."""
@@ -408,13 +411,14 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         links = work.keep(verify(pairs, str(wave)).unionByName(links), f"links-{wave}")
         freed(str(wave))
         roots = work.keep(components(links, work, f"wave-{wave}"), f"roots-{wave}")
+        work.drop(f"wave-{wave}")
 
     def apart(pairs: DataFrame) -> DataFrame:
         of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
         return pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(~F.coalesce(F.col("ra") == F.col("rb"), F.lit(False))).select(*pairs.columns)
 
     near = work.keep(grouped(live, roots).mapInArrow(_compared(num, den, True), kinds), "near")
-    work.drop()
+    work.free()
     if not near.isEmpty():
         best = near.groupBy("a", "b").agg(F.min("far").alias("far"))
         sides = best.select("a", "b", "far", F.col("a").alias("node")).unionByName(best.select("a", "b", "far", F.col("b").alias("node")))
@@ -422,7 +426,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         add(work.keep(apart(near.select("a", "b").distinct()), "chosen-2"), 2)
         again = live.join(near.select("sig").distinct(), "sig", "left_semi")
         rest = grouped(again, roots).mapInArrow(_compared(num, den, False), kinds).select("a", "b").distinct()
-        add(work.keep(rest, "chosen-3"), 3)
+        rest = work.keep(rest, "chosen-3")
+        work.free()
+        add(rest, 3)
     joined = nodes.select("key", "rep").join(roots.withColumnRenamed("node", "key"), "key")
     least = joined.groupBy("root").agg(F.min("rep").alias("component_id"))
     # a component may hold very many sets: its name is dealt to several tasks

@@ -35,17 +35,20 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
-        """Free tables that nothing will read again, and the shuffle files of queries that are done.
-
-        Spark frees a shuffle once the driver has collected its handle, which a
-        driver with room to spare would put off.
-        """
+        """Free tables that nothing will read again."""
         jvm = self.spark.sparkContext._jvm
-        jvm.System.gc()
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Free the shuffle files of queries that are done.
+
+        Spark frees a shuffle once the driver has collected its handle, which a
+        driver with room to spare would put off; called after large shuffles only.
+        """
+        self.spark.sparkContext._jvm.System.gc()
+
 
 #: Rows of one long that may be broadcast: 8 MB of ids.
 BROADCAST_IDS = 1_000_000
