@@ -389,6 +389,16 @@ def test_pii_word_contexts_and_spaced_numbers(spark):
     assert masked[3] == "phone: <phone>" and masked[0] == "please call me at <phone>"
 
 
+def test_pii_found_instances_support_new_patterns(spark):
+    seeds = ["+1 (988) 555-2485", "+1 988 555 2486", "+49 170 1234567", "+44 20 7946 0958", "+33 1 70 18 99 00", "+1 988 555 2490"]
+    local = ["0170-998877", "0171-998866", "0172-112233"]
+    texts = [f"phone: {x}" for x in seeds] + [f"phone: {x}" for x in local] + [f"rufnummer: {x}" for x in local]
+    asked = ["rufnummer: 0555-443322", "order: 0555-443399", None]
+    rows = {r.doc_id - len(texts): r for r in pii.find_personal_data(frame(spark, texts + asked)).collect()}
+    found = [[asked[i][x.start : x.end] for x in rows[i].spans if x.kind == 4] if asked[i] else [] for i in range(3)]
+    assert found == [["0555-443322"], [], []] and not any(rows[i].base for i in range(3))
+
+
 def test_language_model_is_a_distribution(spark):
     texts = ["a b a b c", "a b a b d", "b a", None, "a b a b c"] * 3
     out = lm_scoring.lm_scores(frame(spark, texts + ["zzz a"]), frame(spark, texts)).orderBy("doc_id").collect()

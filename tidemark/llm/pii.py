@@ -5,7 +5,8 @@ payment cards, phone numbers).  The labels that precede them ("phone:", "mail=")
 and the one to three words on either side ("call me at _", "_ is my number")
 become lexical patterns.  A graph of patterns and instances is scored in rounds:
 a pattern is as reliable as its instances are on average, an instance as its best
-pattern; reliable patterns then name identifiers that no check knows.
+pattern; what is found supports further patterns, and reliable patterns name
+identifiers that no check knows.
 """
 
 from __future__ import annotations
@@ -25,9 +26,10 @@ CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 #: Several groups of digits, joined by what may join them in a phone or card number.
 RUN = r"(?<![\p{L}0-9])[+(]*+[0-9]++(?:[\x20().-]++[0-9]++)++"
 KINDS = ("email", "ip", "card", "phone")
-#: Distinct seeds that a pattern needs, rounds of scoring, and the reliability that a pattern needs in the end.
+#: Instances that a pattern needs that are seeds or believed in, the most rounds of scoring, and the reliability that a pattern needs.
 LEAST_SEEDS = 3
-ROUNDS = 3
+MOST_ROUNDS = 10
+SETTLED = 1e-3
 RELIABLE = 0.7
 LEAST_DIGITS = 6
 #: Digits of the longest number that a run may be; words of the longest context.
@@ -153,20 +155,34 @@ def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def reliable_patterns(table: DataFrame, work: Workspace) -> DataFrame:
-    """(label, kind, reliability) of the patterns that the graph of patterns and instances proves."""
+    """(label, kind, reliability) of the patterns that the graph of patterns and instances proves.
+
+    A round scores a pattern by the mean belief in its instances, if at least
+    LEAST_SEEDS of them are believed in, and an instance by its best reliable pattern.
+    Instances that are found so support patterns that no seed has.  Rounds end when
+    no pattern comes or goes and their mean score settles, and after MOST_ROUNDS at
+    the latest.
+    """
     seeds = table.select(F.explode("seeds").alias("s")).select(F.explode("s.patterns").alias("label"), "s.kind", "s.m").distinct()
-    known = seeds.groupBy("label", "kind").agg(F.count("*").alias("n_seeds")).where(F.col("n_seeds") >= LEAST_SEEDS)
-    loose = table.select(F.explode("free").alias("f")).select(F.explode("f.patterns").alias("label"), "f.m").distinct().join(known.select("label").distinct(), "label", "left_semi")
-    edges = work.keep(seeds.select("label", "m").unionByName(loose).distinct().join(known.select("label").distinct(), "label", "left_semi"), "edges")
-    sure = work.keep(seeds.select("kind", "m").distinct().withColumn("sure", F.lit(1.0)), "sure")
-    size = edges.groupBy("label").agg(F.count("*").alias("size"))
-    belief = sure.select("m", "kind", F.col("sure").alias("score"))
-    for i in range(ROUNDS):
-        total = edges.join(belief, "m").groupBy("label", "kind").agg(F.sum("score").alias("total"))
-        patterns = work.keep(total.join(known, ["label", "kind"]).join(size, "label").select("label", "kind", (F.col("total") / F.col("size")).alias("reliability")), f"patterns-{i}")
-        if i + 1 < ROUNDS:
-            guess = edges.join(patterns, "label").groupBy("m", "kind").agg(F.max("reliability").alias("score")).join(sure, ["m", "kind"], "left")
-            belief = work.keep(guess.select("m", "kind", F.coalesce("sure", "score").alias("score")), f"belief-{i}")
+    loose = table.select(F.explode("free").alias("f")).select(F.explode("f.patterns").alias("label"), "f.m")
+    every = work.keep(seeds.select("label", "m").unionByName(loose).distinct(), "every")
+    size = every.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") >= LEAST_SEEDS)
+    edges = work.keep(every.join(size, "label"), "edges")  # a label of fewer instances never counts
+    work.drop("every")
+    sure = work.keep(seeds.select("kind", "m").distinct(), "sure")
+    belief, before = sure.select("m", "kind", F.lit(1.0).alias("score")), None
+    for i in range(MOST_ROUNDS):
+        scored = edges.join(belief, "m").groupBy("label", "kind").agg(F.sum("score").alias("total"), F.count_if(F.col("score") >= RELIABLE).alias("believed"), F.max("size").alias("size"))
+        patterns = work.keep(scored.where(F.col("believed") >= LEAST_SEEDS).select("label", "kind", (F.col("total") / F.col("size")).alias("reliability")), f"patterns-{i}")
+        now = patterns.agg(F.count("*").alias("n"), F.count_if(F.col("reliability") >= RELIABLE).alias("reliable"), F.coalesce(F.avg("reliability"), F.lit(0.0)).alias("mean")).first()
+        if before and (now.n, now.reliable) == (before.n, before.reliable) and abs(now["mean"] - before["mean"]) < SETTLED:
+            break
+        before = now
+        # seeds stay certain; what is found is as certain as its best pattern
+        guess = edges.join(patterns, "label").groupBy("m", "kind").agg(F.max("reliability").alias("score"))
+        found = guess.join(sure, ["m", "kind"], "left_anti").unionByName(sure.select("m", "kind", F.lit(1.0).alias("score")))
+        belief = work.keep(found, f"belief-{i}")
+        work.drop(*((f"belief-{i - 1}", f"patterns-{i - 1}") if i else ()))
     best = patterns.groupBy("label").agg(F.max(F.struct("reliability", "kind")).alias("b"))
     return best.select("label", "b.kind", "b.reliability").where(F.col("reliability") >= RELIABLE)
 
