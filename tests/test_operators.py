@@ -160,6 +160,11 @@ def test_lists_and_datasets(spark, tmp_path):
     assert (one.files, one["rows"], one.row_groups, one.codecs) == (3, 1000, 3, ["SNAPPY"]) and one.sha256 == hashlib.sha256(tree).hexdigest()
     assert {e.column for e in one.encodings} == {"id", "t"} and one.bytes == sum((tmp_path / "set" / n).stat().st_size for n in names)
     assert manifests.file_count(spark, root, 3) == 3
+    listed = manifests.file_manifest(spark, root).collect()
+    assert [r.path.rsplit("/", 1)[1] for r in listed] == names and sum(r["rows"] for r in listed) == 1000
+    assert [r.sha256 for r in listed] == [hashlib.sha256((tmp_path / "set" / n).read_bytes()).hexdigest() for n in names]
+    spark.range(5).write.parquet(str(tmp_path / "tree" / "k=1"))
+    assert manifests.read_flat(spark, str(tmp_path / "tree")).columns == ["id"]
     with pytest.raises(ValueError):
         manifests.file_count(spark, root, 4)
 

@@ -127,6 +127,17 @@ def footers(spark: SparkSession, root: str) -> DataFrame:
     return _files(spark, root).mapInArrow(run, "path string, bytes long, rows long, row_groups long, codecs array<string>, encodings array<struct<column:string,encodings:array<string>>>")
 
 
+def file_manifest(spark: SparkSession, root: str) -> DataFrame:
+    """(path, bytes, rows, sha256) of every Parquet file below a folder, paths in order."""
+    digests = file_digests(spark, root, "*.parquet").select("path", "sha256")
+    return footers(spark, root).select("path", "bytes", "rows").join(digests, "path").orderBy("path")
+
+
+def read_flat(spark: SparkSession, *paths: str) -> DataFrame:
+    """Parquet files of folders or patterns, whose folder names become no columns."""
+    return spark.read.option("recursiveFileLookup", True).parquet(*paths)
+
+
 def dataset_summary(spark: SparkSession, root: str, digest: bool = True) -> DataFrame:
     """One row on a Parquet tree: bytes, files, rows, row groups, codecs, the encodings of the first file, and the digest of all paths and contents."""
     own = footers(spark, root)

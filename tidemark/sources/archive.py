@@ -181,6 +181,8 @@ def ingest(spark: SparkSession, paths: list[str] | str, out: str, crawl: str, re
     nothing; metrics come last, and an input that has them is done.  Only the
     list of files is on the driver.
     """
+    if not isinstance(paths, str) and len(set(paths)) < len(paths):
+        raise ValueError("an input is listed twice")
     files = sorted({re.sub("^file:/+", "file:/", f) for f in spark.read.text(paths).inputFiles()})
     if resume and _exists(spark, f"{out}/metrics"):
         done = {r.input for r in spark.read.parquet(f"{out}/metrics").select("input").toLocalIterator()}
@@ -198,6 +200,11 @@ def ingest(spark: SparkSession, paths: list[str] | str, out: str, crawl: str, re
     return spark.read.parquet(f"{out}/metrics")
 
 
+def report(metrics: DataFrame, inputs: DataFrame) -> DataFrame:
+    """Metrics in the order of a list of inputs (idx, input); an input without metrics has nulls."""
+    return inputs.join(metrics, "input", "left").orderBy("idx")
+
+
 def _keyed(rows: DataFrame) -> DataFrame:
     """Carries the input's key through the projections beside the crawl's name."""
     return rows.withColumn("crawl", F.struct(F.col("crawl").alias("name"), F.col("input_key").alias("key")))
