@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 #: Pixels of a row of stored payloads, one for each byte.
 UNIT = 576
 MOST_ROWS = 16384
-#: Bytes of the shortest repeat that becomes a back-reference, and the longest that one code can copy.
+#: Bytes by which repeats are found, the shortest repeat that is worth a back-reference, and the longest that one code can copy.
 LEAST_MATCH = 8
+WORTH = 14
 MOST_MATCH = 4096
 #: Longest prefix code that the encoder makes.
-LONGEST_CODE = 12
+LONGEST_CODE = 11
 #: Bytes of a stream that the decoder looks codes up in at a time.
 WINDOW = 1 << 16
 
@@ -43,6 +44,17 @@ _NEAR = (
     (4, 6), (-4, 6), (6, 4), (-6, 4), (2, 7), (-2, 7), (7, 2), (-7, 2), (3, 7), (-3, 7), (7, 3), (-7, 3), (5, 6), (-5, 6), (6, 5), (-6, 5), (8, 0), (4, 7), (-4, 7), (7, 4),
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
+def _turned_table() -> list[int]:
+    """Every number of 15 bits with its bits in reverse."""
+    n, out = np.arange(1 << 15), np.zeros(1 << 15, np.int64)
+    for i in range(15):
+        out |= (n >> i & 1) << 14 - i
+    return out.tolist()
+
+
+_TURNED = _turned_table()
+
+
 class Bits:
     """Reads little-endian bits."""
 
@@ -62,7 +74,7 @@ class Code:
     """A canonical prefix code given by its lengths: a table of (symbol, length) by the next `longest` bits."""
 
     def __init__(self, lengths: list[int]):
-        used = sorted((n, s) for s, n in enumerate(lengths) if n)
+        used = sorted([(n, s) for s, n in enumerate(lengths) if n])
         self.only = (used[0][1] if used else 0) if len(used) < 2 else None
         self.longest = 0 if self.only is not None else used[-1][0]
         if self.only is not None:
@@ -76,7 +88,7 @@ class Code:
             last = n
             if code >= 1 << n:
                 raise ValueError("a prefix code is over-full")
-            table[int(f"{code:0{n}b}"[::-1], 2) :: 1 << n] = [symbol << 4 | n] * (size >> n)
+            table[_TURNED[code] >> 15 - n :: 1 << n] = [symbol << 4 | n] * (size >> n)
             code += 1
         if code != 1 << last:
             raise ValueError("a prefix code is not complete")
@@ -223,23 +235,32 @@ def _several(code: Code) -> np.ndarray:
     """The code's table with as many literals in an entry as its bits hold, three at most: literals << 8 | their number << 4 | bits; 0 for other symbols."""
     one = np.array(code.table, np.int32)
     literal, total, count, out = one < 4096, one & 15, np.ones(len(one), np.int32), one >> 4
-    place = np.arange(len(one))
+    place = np.arange(len(one), dtype=np.int32)
     for more in (1, 2):
         after = one[place >> total]
-        ok = literal & (count == more) & (after < 4096) & (total + (after & 15) <= code.longest)
-        out = np.where(ok, out | after >> 4 << 8 * more, out)
-        count = count + ok
-        total = np.where(ok, total + (after & 15), total)
-    return np.where(literal, out << 8 | count << 4 | total, 0).astype(np.int32)
-
-
-def _ahead(step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where a step leads from every bit, and the length of two such steps in a row; 0 where one of them is none or leads out."""
-    to = np.arange(len(step)) + step
-    inside = to < len(step)
-    to[~inside] = 0
-    then = step[to]
-    return to, np.where(inside & (step > 0) & (then > 0), step + then, 0)
+        reach = total + (after & 15)
+        ok = literal & (after < 4096) & (reach <= code.longest)
+        if more == 2:
+            ok &= count == 2
+        out += (after >> 4 << 8 * more) * ok
+        count += ok
+        total = np.where(ok, reach, total)
+    return (out << 8 | count << 4 | total) * literal
+
+
+#: Bits that a step from the last bit of a block may lead beyond it, four steps of 15 bits.
+_BEYOND = 64
+_BITS = np.arange(8 * WINDOW + _BEYOND, dtype=np.int32)
+
+
+def _twice(step: np.ndarray) -> np.ndarray:
+    """The length of two steps in a row from every bit; 0 where one of them is none. Steps are followed by _BEYOND zeros."""
+    n = len(step) - _BEYOND
+    first = step[:n]
+    then = step[_BITS[:n] + first]
+    out = np.zeros(len(step), np.int32)
+    np.multiply(first + then, (first > 0) & (then > 0), out=out[:n])
+    return out
 
 
 def _one_by_one(bits: Bits, green: Code, far: Code, width: int, total: int) -> np.ndarray:
@@ -280,10 +301,9 @@ def _read_one_channel(bits: Bits, green: Code, far: Code, width: int, total: int
         word = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16)
         entry = several[(word[:, None] >> shifts).ravel() & low]
         stop = min(8 * len(word), end - 8 * lo)
-        one = entry & 15
-        next_, two = _ahead(one)
-        four = _ahead(two)[1]
-        far_step, step = four.tolist(), one.tolist()
+        one = np.zeros(len(entry) + _BEYOND, np.int32)
+        np.bitwise_and(entry, 15, out=one[: len(entry)])
+        far_step, step = memoryview(_twice(_twice(one))), memoryview(one)
         p, found, leaps = at & 7, [], []
         add, leap = found.append, leaps.append
         while p < stop:
@@ -327,7 +347,7 @@ def _read_one_channel(bits: Bits, green: Code, far: Code, width: int, total: int
             refs.append((before + len(found) + 4 * len(leaps), size, back - 120 if back > 120 else _distance(back, width)))
         quads = [np.array(leaps, np.int64)]
         for _ in range(3):
-            quads.append(next_[quads[-1]])
+            quads.append(quads[-1] + one[quads[-1]])
         tokens.append(entry[np.sort(np.concatenate([np.array(found, np.int64), *quads]))])
         before += len(tokens[-1])
         at = 8 * lo + p
@@ -517,14 +537,14 @@ def code_lengths(counts: list[int], longest: int) -> list[int]:
 
 def code_bits(lengths: list[int]) -> np.ndarray:
     """The bits of each symbol of a canonical code, first bit lowest."""
-    out = np.zeros(len(lengths), np.int64)
+    out = [0] * len(lengths)
     code, last = 0, 0
-    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+    for n, s in sorted([(n, s) for s, n in enumerate(lengths) if n]):
         code <<= n - last
         last = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
+        out[s] = _TURNED[code] >> 15 - n
         code += 1
-    return out
+    return np.array(out, np.int64)
 
 
 def _put_code(w: BitWriter, counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -594,9 +614,9 @@ def _repeats(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(px) - LEAST_MATCH + 1
     if n < 2:
         return none, none, none
-    key = np.zeros(n, np.uint64)
-    for j in range(LEAST_MATCH):
-        key |= px[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+    key = px.astype(np.uint64)
+    for j in (1, 2, 4):  # eight bytes from every place
+        key = key[:-j] | key[j:] << np.uint64(8 * j)
     # a stable sort of sixteen bits is by radix; places whose hashes meet by chance are told apart by their keys
     order = np.argsort((key * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.uint16), kind="stable")
     same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
@@ -605,10 +625,14 @@ def _repeats(px: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     back[back > (1 << 20) - 120] = 0
     ends = np.append(np.flatnonzero(back[1:] != back[:-1]) + 1, n)
     until = np.repeat(ends, np.diff(np.append(0, ends))) + LEAST_MATCH - 1
-    places = np.flatnonzero(back)
+    worth = (back > 0) & (until - np.arange(n) >= WORTH)
+    places = np.flatnonzero(worth)
     if not len(places):
         return none, none, none
-    follow = np.append(np.searchsorted(places, np.arange(len(px) + 1)), len(places)).tolist()
+    follow = np.full(len(px) + 2, len(places), np.int64)  # how many places lie before each
+    np.cumsum(worth, out=follow[1 : n + 1])
+    follow[0] = 0
+    follow = memoryview(follow)
     where, stop = places.tolist(), until[places].tolist()
     out, i = [], 0
     while i < len(where):
