@@ -423,6 +423,7 @@ def _scores(texts: DataFrame) -> DataFrame:
     texts = texts.withColumn("row", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
     train = texts.where(F.col("use").bitwiseAND(1) > 0).select("text")
     counts = work.keep(train.mapInArrow(_counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "counts")
+    work.free()
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     least = max(2, math.ceil(WORD_SHARE * total))
     hot = counts.where(F.col("c") >= least).toArrow()
@@ -433,6 +434,7 @@ def _scores(texts: DataFrame) -> DataFrame:
         moves = moves.unionByName(pairs.mapInArrow(_told(vocabulary), _MOVES))
     moves = moves.repartition("part").sortWithinPartitions("part")
     steps = work.keep(moves.mapInArrow(_steps(vocabulary), _STEPS), "steps")
+    work.free()
     kind = lambda k: steps.where(F.col("kind") == k)
     slim = texts.where(F.col("use").bitwiseAND(2) > 0).select("row", "doc_id", "text")
     part = work.keep(slim.mapInArrow(_rows(vocabulary, distinct), "row long, doc_id long, n_tokens long, known long, base double, h array<long>, times array<long>"), "part")
@@ -450,6 +452,7 @@ def _scores(texts: DataFrame) -> DataFrame:
     lower = F.col("x") + F.coalesce("more", zero)
     fail = F.log10("y") - F.log10(F.greatest(F.lit(1e-12), 1 - lower))
     states = work.keep(kind(3).select("v", "x", "y").join(seen, "v", "left").select("v", fail.alias("fail")), "states")
+    work.free()
     frequent = F.col("v").between(START, len(vocabulary.count) - 1)
     uses = kind(2).select("row", "v", "times")
     # frequent words are bounded in number and broadcast; the others have few rows each
