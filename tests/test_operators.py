@@ -89,6 +89,21 @@ def test_unsafe_hosts_stay_small_expressions(spark):
     assert {r.x: r.unsafe for r in rows} == unsafe
 
 
+def test_quota_windows_agree_with_sql_at_their_edges(spark, tmp_path):
+    import duckdb
+
+    from tidemark.plans import registry
+
+    hours = ("2024-01-01 01:00:00", "1969-12-31 23:00:00", "1970-01-01 00:00:00", "1969-06-01 12:00:00")
+    ms = "(values (-1001), (-1000), (-501), (-500), (-499), (-1), (0), (499), (500), (1500), (3599999500)) t(us)"
+    db = duckdb.connect()
+    db.sql("CREATE TABLE events AS SELECT row_number() OVER (ORDER BY h, us, u) AS event_id, h::TIMESTAMP + to_microseconds(us) AS ts, u AS user_id FROM (SELECT unnest(['" + "','".join(hours) + f"']) AS h), {ms}, range(2) r(u)")
+    db.sql("INSERT INTO events VALUES (NULL, '2024-01-01 01:00:00', 0), (NULL, NULL, 1), (901, NULL, 1), (902, NULL, 1), (903, '2024-01-01 01:00:00', NULL)")
+    db.sql(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    got = [tuple(r) for r in registry.QUERIES["t4_quota"](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(db.sql(registry.ORACLES["t4_quota"]).fetchall(), key=str)
+
+
 def test_search_periods(spark):
     s = "query string, clicks double, impressions double, ctr double, position double"
     row = lambda q, c, i, p: (q, float(c), float(i), c / i, float(p))

@@ -71,7 +71,7 @@ def missing_buckets(detail: DataFrame, buckets: int = 1024) -> DataFrame:
 
 
 def quota(requests: DataFrame, user: str, ts: str, millis: int, most: int) -> DataFrame:
-    """Requests with whether they fit the quota of their user's fixed window."""
-    w = Window.partitionBy(user, "window_id").orderBy(ts, "request_id")
+    """Requests with whether they fit the quota of their user's fixed window; those without a time or an id come last."""
+    w = Window.partitionBy(user, "window_id").orderBy(F.asc_nulls_last(ts), F.asc_nulls_last("request_id"))
     out = requests.withColumn("window_id", N.window_id(ts, millis))
     return out.withColumn("allowed", F.row_number().over(w) <= most)
