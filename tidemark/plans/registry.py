@@ -412,7 +412,7 @@ _TEXT = "replace(replace(replace(replace({0}, '&lt;', '<'), '&gt;', '>'), '&quot
 
 @query("f27_html_pages", _P + f" SELECT url, {_TEXT.format('title')} AS title, {_TEXT.format('description')} AS description, noindex, n_h1 FROM p")
 def f27(spark, sf):
-    p = html.parsed_pages(V.table(spark, sf, "pages"))
+    p = html.parsed_pages(V.table(spark, sf, "pages"), written=True)
     return p.select("url", "title", "description", "noindex", F.size("h1").cast("long").alias("n_h1"))
 
 
