@@ -458,6 +458,35 @@ def test_language_model_counts_every_ngram(spark, monkeypatch):
     assert [r.score for r in out[::2]] == pytest.approx(backoff_scores(texts, asked[:3])) and out[0] == out[1]
 
 
+def test_lm_parts_are_walked_in_slices(monkeypatch):
+    """A part of any size is walked some words or contexts at a time, with the same results; it once was walked whole."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    names = np.array(["the", "of", *(f"w{i}" for i in range(40))])
+    texts = [" ".join(rng.choice(names, 60, p=[0.4, 0.2, *[0.01] * 40])) for _ in range(200)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(200)), pa.array([2 if i % 10 == 0 else 3 for i in range(200)], pa.int32()), pa.array(texts)], names=["row", "use", "text"])
+    learnt = pa.RecordBatch.from_arrays([pa.array([t for i, t in enumerate(texts) if i % 10])], names=["text"])
+    counts = pa.Table.from_batches(list(lm_scoring._counted([learnt]))).to_pandas()
+    whole, walk = {}, lm_scoring._walk
+    for part, slice_ in ((10**6, 10**9), (10**6, 300), (2000, 10**9), (2000, 300)):
+        monkeypatch.setattr(lm_scoring, "PART", part)
+        monkeypatch.setattr(lm_scoring, "SLICE", slice_, raising=False)
+        sizes = []
+        monkeypatch.setattr(lm_scoring, "_walk", lambda voc, u, *rest, sizes=sizes: sizes.append((len(u), len(np.unique(u)))) or walk(voc, u, *rest))
+        voc = lm_scoring.Vocabulary(counts["h"].to_numpy(), counts["n"].to_numpy(), int(counts["n"].sum()))
+        moves = pa.Table.from_batches(list(lm_scoring._moves(voc)([rows])))
+        if len(voc.several):
+            pairs = pa.Table.from_batches(list(lm_scoring._pairs(voc)([learnt]))).group_by(["v", "w"]).aggregate([("n", "sum")])
+            moves = pa.concat_tables([moves, *(pa.Table.from_batches([b]) for b in lm_scoring._told(voc)(pairs.to_batches()))])
+        steps = pa.Table.from_batches(list(lm_scoring._steps(voc)(moves.sort_by("part").to_batches()))).to_pandas()
+        found = steps[steps.kind < 3].groupby(["kind", "row", "v", "h"])[["times", "x"]].sum()
+        whole.setdefault("found", found)
+        assert found.index.equals(whole["found"].index) and np.allclose(found, whole["found"])
+        if slice_ == 300:
+            assert len(sizes) > 20 and all(n <= 300 or contexts == 1 for n, contexts in sizes)
+
+
 def test_classifiers(spark):
     good = ["the quiet river ran along the old road number %d" % i for i in range(60)]
     bad = ["you idiot scum number %d goes away" % i for i in range(40)]

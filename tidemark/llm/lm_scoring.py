@@ -34,6 +34,8 @@ END = np.uint64(0x454E44)
 START, BEFORE = -1, -2
 #: Transitions of a part, about.
 PART = 1_000_000
+#: Transitions of a part that are walked at a time, about: what a walk holds is some forty arrays of them.
+SLICE = 200_000
 _FLUSH = 4_000_000
 #: Transitions that are packed together.
 _BLOCK = 1_000_000
@@ -237,8 +239,46 @@ def _sums(x: np.ndarray, group: np.ndarray) -> np.ndarray:
 _STEPS = "kind int, row long, v long, h long, times long, x double, y double"
 
 
+def _slices(u, v, w, use, told):
+    """(places, told) of walks that make up a part: all of some words, or, of a word of more transitions than a slice has, all from some contexts.
+
+    `told` has what a word's bigrams count (words, counts), all there are of the word and whether the walk answers
+    for its state; it is given where a part has a word in part, and counted here for a word of several walks.
+    """
+    order = np.argsort(v)
+    first = np.flatnonzero(_starts(v[order]))
+    last = np.r_[first[1:], len(v)]
+    large = last - first > SLICE
+
+    def some(lo, hi):
+        i = 0
+        while i < len(lo):
+            j = max(i + 1, int(np.searchsorted(hi, lo[i] + SLICE, "right")))
+            yield lo[i], hi[j - 1]
+            i = j
+
+    if not told:
+        small = np.flatnonzero(~large)
+        for run in np.split(small, np.flatnonzero(np.diff(small) > 1) + 1):
+            for lo, hi in some(first[run], last[run]):
+                yield order[lo:hi], None
+    for k in range(len(first)) if told else np.flatnonzero(large):
+        of, tell = order[first[k] : last[k]], told
+        if not told:
+            known, c = np.unique(w[of[(use[of] & 1) > 0]], return_counts=True)
+            tell = known, c, c.sum(), len(c) > 0
+        if v[of[0]] == START:  # without contexts before it, each transition is on its own
+            at = np.arange(len(of))
+        else:
+            of = of[np.argsort(u[of])]
+            at = np.flatnonzero(_starts(u[of]))
+        for lo, hi in some(at, np.r_[at[1:], len(of)]):
+            yield of[lo:hi], tell
+            tell = (*tell[:3], False)
+
+
 def _walk(vocabulary: Vocabulary, u, v, w, row, use, told):
-    """Arrays of _STEPS of one part's transitions; `told` has the words and counts of the bigrams where the part has not all of them."""
+    """Arrays of _STEPS of one slice's transitions; `told` as _slices gives it."""
     (words, v), (before, u), (after, w) = (np.unique(x, return_inverse=True) for x in (v, u, w))
     order = _order((v, len(words)), (u, len(before)), (w, len(after)))
     u, v, w, row, use = u[order], v[order], w[order], row[order], use[order]
@@ -258,10 +298,10 @@ def _walk(vocabulary: Vocabulary, u, v, w, row, use, told):
     c_vw = _sums(c3, pair)
     pair_one, pair_w = one[first], w3[first]
     if told:
-        known, c_known, lead = told
+        known, c_known, c_one, lead = told
         at = np.minimum(np.searchsorted(known, pair_w), len(known) - 1)
         c_vw = np.where(known[at] == pair_w, c_known[at], 0).astype(float) if len(known) else np.zeros(len(pair_w))
-        c_v = vocabulary.count[words].astype(float)
+        c_v = np.full(len(words), c_one, float)
     with np.errstate(divide="ignore", invalid="ignore"):
         p2 = np.where(c_vw > 0, (c_vw - DISCOUNT) / c_v[pair_one], 0.0)
         lower = _sums(np.where(c3 > 0, p2[pair], 0.0), two)[two]
@@ -329,22 +369,29 @@ def _steps(vocabulary: Vocabulary):
         def done():
             if not blobs:
                 return
-            arrays = [np.concatenate(x) for x in zip(*blobs, strict=True)]
+            columns, arrays = list(zip(*blobs, strict=True)), []
+            blobs.clear()
+            while columns:
+                arrays.append(np.concatenate(columns.pop(0)))
+            u, v, w, row, use = arrays
             tell = None
             if part >= vocabulary.parts:
                 lead = part in vocabulary.first
                 known, c = (np.concatenate(x) for x in zip(*told, strict=True)) if told else (np.zeros(0, np.int64), np.zeros(0, np.int64))
                 if not lead:
-                    mine = np.isin(known, arrays[2])
+                    mine = np.isin(known, w)
                     known, c = known[mine], c[mine]
                 order = np.argsort(known)
-                tell = known[order], c[order], lead
-            head, *rest = _walk(vocabulary, *arrays, tell)
-            weights.append((head[1], head[5]))
-            for block in rest:
-                out = table(block)
-                if out.num_rows:
-                    yield out
+                tell = known[order], c[order], vocabulary.count[v[0]], lead
+            for at, tell in _slices(u, v, w, use, tell):
+                head, *rest = _walk(vocabulary, u[at], v[at], w[at], row[at], use[at], tell)
+                weights.append((head[1], head[5]))
+                if len(weights) > 8:
+                    weights[:] = [_merged(weights)]
+                for block in rest:
+                    out = table(block)
+                    if out.num_rows:
+                        yield out
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -352,8 +399,6 @@ def _steps(vocabulary: Vocabulary):
                 if b["part"] != part:
                     yield from done()
                     part, blobs, told = b["part"], [], []
-                    if len(weights) > 8:
-                        weights[:] = [_merged(weights)]
                 n, block = b["n"], b["block"]
                 w = _unpacked(b["w"], n, np.int64)
                 if b["v"] is None:
