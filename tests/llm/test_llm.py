@@ -458,6 +458,29 @@ def test_language_model_counts_every_ngram(spark, monkeypatch):
     assert [r.score for r in out[::2]] == pytest.approx(backoff_scores(texts, asked[:3])) and out[0] == out[1]
 
 
+def test_lm_rounds_deal_out_every_part_once(spark, monkeypatch):
+    """The transitions of one round lie on disk at a time; they once all did."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = np.random.default_rng(4)
+    names = np.array(["the", *(f"w{i}" for i in range(60))])
+    texts = [" ".join(rng.choice(names, 40, p=[0.4, *[0.01] * 60])) for _ in range(100)]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([3] * 100, pa.int32()), pa.array(texts)], names=["row", "use", "text"])
+    counts = pa.Table.from_batches(list(lm_scoring._counted([rows.select(["text"])]))).to_pandas()
+    monkeypatch.setattr(lm_scoring, "PART", 300)
+    voc = lm_scoring.Vocabulary(counts["h"].to_numpy(), counts["n"].to_numpy(), int(counts["n"].sum()))
+    dealt = lambda *turn: pa.Table.from_batches(list(lm_scoring._moves(voc, *turn)([rows]))).filter(pc.field("v").is_valid()).to_pandas()
+    whole, rounds = dealt(), [dealt(k, 3) for k in range(3)]
+    assert len(voc.several) and sorted(whole.part) == sorted(p for r in rounds for p in r.part) and all((r.part % 3 == k).all() for k, r in enumerate(rounds))
+    assert whole.n.sum() == sum(r.n.sum() for r in rounds) and max(r.n.sum() for r in rounds) < 0.6 * whole.n.sum()
+    found = []
+    for n in (1, 2, 5):
+        monkeypatch.setattr(lm_scoring, "ROUNDS", n)
+        found.append([r.score for r in lm_scoring.lm_scores(frame(spark, texts), frame(spark, texts[:80])).orderBy("doc_id").collect()])
+    assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2])
+
+
 def test_lm_parts_are_walked_in_slices(monkeypatch):
     """A part of any size is walked some words or contexts at a time, with the same results; it once was walked whole."""
     import pyarrow as pa

@@ -15,6 +15,7 @@ each of them then also gets the word's bigram counts.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,8 @@ END = np.uint64(0x454E44)
 START, BEFORE = -1, -2
 #: Transitions of a part, about.
 PART = 1_000_000
+#: Rounds in which the parts are dealt and walked, so that the transitions of one round lie on disk at a time; each reads the texts anew.
+ROUNDS = 2
 #: Transitions of a part that are walked at a time, about: what a walk holds is some forty arrays of them.
 SLICE = 200_000
 _FLUSH = 4_000_000
@@ -127,13 +130,16 @@ def _blobs(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), _KINDS, strict=True)], names=[x.split()[0] for x in _MOVES.split(", ")])
 
 
-def _moves(vocabulary: Vocabulary):
-    """Transitions (u, v, w) of each row of (row, use, text), dealt by v; use is 1 for training, 2 for scoring, 3 for both."""
+def _moves(vocabulary: Vocabulary, turn: int = 0, rounds: int = 1):
+    """Transitions (u, v, w) of each row of (row, use, text), dealt by v; use is 1 for training, 2 for scoring, 3 for both.
+
+    Only the parts of one round; each round numbers the rows on its own, as they need not come in the same order again.
+    """
 
     def run(batches):
         from pyspark import TaskContext
 
-        block = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        block = ((TaskContext.get().partitionId() if TaskContext.get() else 0) * rounds + turn) << 40
         held, n, numbers = [], 0, []
 
         def flush():
@@ -147,10 +153,11 @@ def _moves(vocabulary: Vocabulary):
                 key[wide] = part[wide].astype(np.uint64)
                 key[~wide] |= np.uint64(1 << 63)
                 key[~wide] = part[~wide].astype(np.uint64) << np.uint64(40) | key[~wide] & np.uint64((1 << 40) - 1) | np.uint64(1 << 63)
-            order = np.argsort(key)
+            mine = np.flatnonzero(part % rounds == turn)
+            order = mine[np.argsort(key[mine])]
             u, v, w, at, part = u[order], v[order], w[order], at[order], part[order]
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            out = [(part[lo], hi - lo, block, _packed(u[lo:hi]), _packed(v[lo:hi]), _packed(w[lo:hi]), _packed(at[lo:hi])) for lo, hi in zip(first, np.r_[first[1:], len(part)], strict=True)]
+            first = np.flatnonzero(_starts(part))
+            out = [(part[lo], hi - lo, block, _packed(u[lo:hi]), _packed(v[lo:hi]), _packed(w[lo:hi]), _packed(at[lo:hi])) for lo, hi in zip(first, np.r_[first[1:], len(part)][: len(first)], strict=True)]
             own = np.concatenate(numbers)
             return _blobs([*out, ((block >> 20) % vocabulary.parts, len(own), block, None, None, _packed(own), None)])
 
@@ -197,8 +204,8 @@ def _pairs(vocabulary: Vocabulary):
     return run
 
 
-def _told(vocabulary: Vocabulary):
-    """Bigram counts (v, w, c) for every part of their words."""
+def _told(vocabulary: Vocabulary, turn: int = 0, rounds: int = 1):
+    """Bigram counts (v, w, c) for every part of their words that is in the round."""
 
     def run(batches):
         for batch in batches:
@@ -206,7 +213,9 @@ def _told(vocabulary: Vocabulary):
             for x in np.unique(v):
                 w_x, c_x = w[v == x], c[v == x]
                 packed = _packed(c_x), _packed(np.array([x])), _packed(w_x)
-                yield _blobs([(vocabulary.first[x] + j, len(w_x), 0, *packed, None) for j in range(vocabulary.several[x])])
+                parts = vocabulary.first[x] + np.arange(vocabulary.several[x])
+                if (parts := parts[parts % rounds == turn]).size:
+                    yield _blobs([(k, len(w_x), 0, *packed, None) for k in parts])
 
     return run
 
@@ -473,13 +482,18 @@ def _scores(texts: DataFrame) -> DataFrame:
     least = max(2, math.ceil(WORD_SHARE * total))
     hot = counts.where(F.col("c") >= least).toArrow()
     vocabulary = Vocabulary(hot["h"].to_numpy(), hot["c"].to_numpy(), total)
-    moves = texts.select("row", "use", "text").mapInArrow(_moves(vocabulary), _MOVES)
+    pairs, walks = None, []
     if len(vocabulary.several):
-        pairs = train.mapInArrow(_pairs(vocabulary), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("c"))
-        moves = moves.unionByName(pairs.mapInArrow(_told(vocabulary), _MOVES))
-    moves = moves.repartition("part").sortWithinPartitions("part")
-    steps = work.keep(moves.mapInArrow(_steps(vocabulary), _STEPS), "steps")
-    work.free()
+        pairs = work.keep(train.mapInArrow(_pairs(vocabulary), "v long, w long, n long").groupBy("v", "w").agg(F.sum("n").alias("c")), "pairs")
+    for turn in range(ROUNDS):
+        moves = texts.select("row", "use", "text").mapInArrow(_moves(vocabulary, turn, ROUNDS), _MOVES)
+        if pairs:
+            moves = moves.unionByName(pairs.mapInArrow(_told(vocabulary, turn, ROUNDS), _MOVES))
+        moves = moves.repartition("part").sortWithinPartitions("part")
+        walks.append(work.keep(moves.mapInArrow(_steps(vocabulary), _STEPS), f"steps{turn}"))
+        del moves
+        work.free()
+    steps = reduce(DataFrame.unionByName, walks)
     kind = lambda k: steps.where(F.col("kind") == k)
     slim = texts.where(F.col("use").bitwiseAND(2) > 0).select("row", "doc_id", "text")
     part = work.keep(slim.mapInArrow(_rows(vocabulary, distinct), "row long, doc_id long, n_tokens long, known long, base double, h array<long>, times array<long>"), "part")
