@@ -458,6 +458,17 @@ def test_language_model_counts_every_ngram(spark, monkeypatch):
     assert [r.score for r in out[::2]] == pytest.approx(backoff_scores(texts, asked[:3])) and out[0] == out[1]
 
 
+def test_lm_ids_of_words_that_share_a_slot():
+    rng = np.random.default_rng(5)
+    h = rng.integers(-(2**63), 2**63 - 1, 5000, dtype=np.int64)
+    h[:2000] = h[:2000] >> 40  # many in the same slots, around zero too
+    h = np.unique(np.r_[h, 0])
+    voc = lm_scoring.Vocabulary(h, rng.integers(2, 90, len(h)), 10**6)
+    asked = np.r_[h, h + 1, rng.integers(-(2**63), 2**63 - 1, 5000, dtype=np.int64)]
+    known = dict(zip(voc.h.tolist(), voc.id.tolist(), strict=True))
+    assert voc.ids(asked).tolist() == [known.get(x, -1) for x in asked.tolist()]
+
+
 def test_lm_rounds_deal_out_every_part_once(spark, monkeypatch):
     """The transitions of one round lie on disk at a time; they once all did."""
     import pyarrow as pa

@@ -83,7 +83,7 @@ class Vocabulary:
         rank = np.empty(len(h), np.int64)
         rank[order] = np.arange(len(h))
         by = np.argsort(h)
-        self.h, self.id = h[by], rank[by]
+        self.h, self.id, self._slots = h[by], rank[by], None
         self.total = total
         self.p = (self.count - ROOT_DISCOUNT) / max(1, total)
         self.parts = max(1, math.ceil(total / PART))
@@ -100,11 +100,30 @@ class Vocabulary:
         few[few] = self.several[v[few]] > 0
         return few
 
+    def __getstate__(self):
+        return self.__dict__ | {"_slots": None}
+
+    def _table(self) -> tuple[np.uint64, np.ndarray, np.ndarray]:
+        """A word by the first bits of its hash, the most frequent one of those that share them; made in each worker."""
+        if self._slots is None:
+            bits = (2 * len(self.h)).bit_length()
+            shift, words, ids = np.uint64(64 - bits), np.zeros(1 << bits, np.int64), np.full(1 << bits, -1, np.int32)
+            order = np.argsort(-self.id)
+            at = self.h[order].view(np.uint64) >> shift
+            words[at], ids[at] = self.h[order], self.id[order]
+            self._slots = shift, words, ids
+        return self._slots
+
     def ids(self, t: np.ndarray) -> np.ndarray:
         if not len(self.h):
             return np.full(len(t), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.h, t), len(self.h) - 1)
-        return np.where(self.h[at] == t, self.id[at], -1)
+        shift, words, ids = self._table()
+        at = t.view(np.uint64) >> shift
+        found = np.where(words[at] == t, ids[at], -1).astype(np.int64)
+        rest = np.flatnonzero(found < 0)
+        at = np.minimum(np.searchsorted(self.h, t[rest]), len(self.h) - 1)
+        found[rest] = np.where(self.h[at] == t[rest], self.id[at], -1)
+        return found
 
     def frequent(self, w: np.ndarray) -> np.ndarray:
         return (w >= 0) & (w < len(self.count))
